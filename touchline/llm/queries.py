@@ -2,21 +2,57 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import interpolation
+from touchline.llm import fingerprints, interpolation, jaccard, mixing, packing, sharding, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolation.score(_table(spark, sf_dir, "documents"), folds=10)
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents"), shards=16)
+
+
+def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), by="source", seed=10)
+
+
 QUERIES = {
+    "op1_document_fingerprints": op1_document_fingerprints,
+    "op2_toxicity": op2_toxicity,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_token_counts": op5_token_counts,
     "op6_lm_scoring": op6_lm_scoring,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_sharding": op9_sharding,
+    "op10_mixing_sources": op10_mixing_sources,
 }
 
 ORACLE_SQL: dict[str, str] = {}
