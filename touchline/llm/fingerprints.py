@@ -1,14 +1,14 @@
 """Homomorphic multiset fingerprints of documents.
 
-A document is the multiset of its paragraphs (lines). Each paragraph is hashed to a wide vector of 64-bit numbers, and a
-document's fingerprint is their sum modulo 2**64: the order of paragraphs does not matter, and adding or taking off a paragraph
+A document is the multiset of its paragraphs (lines). Each paragraph is hashed to a wide vector of numbers, and a document's
+fingerprint is their sum modulo powers of two: the order of paragraphs does not matter, and adding or taking off a paragraph
 adds or subtracts its vector (combine()). The vector has three sections:
 
 * one number: how many word sequences the paragraph has;
-* EXACT numbers: independent hashes of the whole paragraph. They decide equality;
-* WIDE numbers, each of four lanes of 16 bits: for every sequence of three words of the paragraph, 4 * WIDE random bits, one
-  a lane. In the difference of two fingerprints, the lanes' squared distance from half the difference in count estimates
-  how many sequences only one of the two has, so near texts have near fingerprints (likeness()).
+* EXACT numbers modulo 2**32: independent hashes of the whole paragraph. They decide equality;
+* WIDE numbers, each of two lanes modulo 2**16 (held in 32 bits each): for every sequence of three words of the paragraph,
+  2 * WIDE random bits, one a lane. In the difference of two fingerprints, the lanes' squared distance from half the
+  difference in count estimates how many sequences only one of the two has, so near texts have near fingerprints (likeness()).
 
 Only DataFrame functions are used. Texts are dealt once, by ranges of doc_id; all later steps keep that partitioning.
 """
@@ -20,15 +20,14 @@ from pyspark.sql import functions as F
 
 from touchline.llm.ordering import bounds, range_of
 
-EXACT, WIDE = 8, 32
-_LANES = 4 * WIDE
-_MASK = 0x0001000100010001
+EXACT, WIDE = 16, 64
+_BOTH, _LOW = 0x0000000100000001, 0xFFFFFFFF
 #: Rows of a range of doc_id, which is sorted as one group; ranges outnumber tasks.
 RANGE_ROWS = 1024
 
 
 def _hashes(column: Column, n: int, salt: str) -> list[Column]:
-    return [F.xxhash64(F.lit(f"{salt}{i}"), column) for i in range(n)]
+    return [F.xxhash64(F.lit(f"{salt}{i}"), column).bitwiseAND(F.lit(_LOW)) for i in range(n)]
 
 
 def _sequences(line: Column) -> Column:
@@ -44,10 +43,11 @@ def _sums(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     once = F.coalesce(F.col("nth"), F.lit(0)) == 0
     parts = [F.count("gram").alias("v0")]
     parts += [F.sum(F.when(once, h).otherwise(F.lit(0).cast("long"))).alias(f"v{1 + i}") for i, h in enumerate(_hashes(F.col("line"), EXACT, "paragraph"))]
-    grams = [F.col("gram"), F.xxhash64(F.lit("second"), "gram")]
+    # A hash gives 64 lanes: bits k and k + 32 for each k below 32.
+    grams = [F.col("gram"), *(F.xxhash64(F.lit(f"bits{i}"), "gram") for i in range(1, WIDE // 32))]
     for k in range(WIDE):
-        lane = F.shiftrightunsigned(grams[k // 16], k % 16).bitwiseAND(F.lit(_MASK))
-        parts.append(F.sum(F.coalesce(lane, F.lit(0).cast("long"))).alias(f"v{1 + EXACT + k}"))
+        lanes = F.shiftrightunsigned(grams[k // 32], k % 32).bitwiseAND(F.lit(_BOTH))
+        parts.append(F.sum(F.coalesce(lanes, F.lit(0).cast("long"))).alias(f"v{1 + EXACT + k}"))
     sums = lines.groupBy(*keys).agg(*parts)
     return sums.select(*keys, F.array(*(f"v{i}" for i in range(1 + EXACT + WIDE))).alias("vector"))
 
@@ -58,37 +58,36 @@ def combine(left: Column, right: Column, take_off: bool = False) -> Column:
 
 
 def digest(vector: Column) -> Column:
-    """A vector as text: 16 lowercase hexadecimal digits a number."""
-    return F.lower(F.array_join(F.transform(vector, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
+    """A vector as lowercase hexadecimal text: 8 digits for the count and each exact number, 4 for each lane."""
+    whole = F.transform(F.slice(vector, 1, 1 + EXACT), lambda x: F.hex(x.bitwiseAND(F.lit(_LOW))))
+    lanes = F.transform(F.slice(vector, 2 + EXACT, WIDE), lambda x: F.hex(F.shiftleft(_high(x).bitwiseAND(F.lit(0xFFFF)), 16).bitwiseOR(x.bitwiseAND(F.lit(0xFFFF)))))
+    return F.lower(F.array_join(F.transform(F.concat(whole, lanes), lambda x: F.lpad(x, 8, "0")), ""))
 
 
-def _square_lanes(numbers: Column) -> Column:
-    """The squares' sum of all lanes of packed signed numbers: each lane's low 16 bits as signed, the borrow carried on."""
+def _low(x: Column) -> Column:
+    return F.shiftright(F.shiftleft(x, 32), 32)
 
-    def lanes(x: Column) -> Column:
-        def take(state: Column, _: Column) -> Column:
-            rest, total = state["rest"], state["total"]
-            low = F.shiftright(F.shiftleft(rest, 48), 48)
-            return F.struct(F.shiftright(rest - low, 16).alias("rest"), (total + low * low).alias("total"))
 
-        start = F.struct(x.alias("rest"), F.lit(0).cast("long").alias("total"))
-        return F.aggregate(F.array(*map(F.lit, range(4))), start, take, lambda s: s["total"])
+def _high(x: Column) -> Column:
+    return F.shiftright(x - _low(x), 32)
 
-    return F.aggregate(numbers, F.lit(0).cast("long"), lambda total, x: total + lanes(x))
 
+def norm(vector: Column) -> Column:
+    """Estimate of the squared norm of a (difference of) multisets of sequences: the lanes' squares, less half the count each."""
+    half = F.floor(vector[0] / 2).cast("long") * F.lit(_BOTH)
 
-def _distance(wide: Column, count: Column) -> Column:
-    """Estimate of the squared norm of a (difference of) multisets: lanes less half the count."""
-    half = F.floor(count / 2).cast("long") * F.lit(_MASK)
-    return _square_lanes(F.transform(wide, lambda x: x - half)) * (4.0 / _LANES)
+    def add(total: Column, x: Column) -> Column:
+        low, high = _low(x - half).cast("double"), _high(x - half).cast("double")
+        return total + low * low + high * high
 
+    return F.aggregate(F.slice(vector, 2 + EXACT, WIDE), F.lit(0.0), add) * (2.0 / WIDE)
 
-def likeness(left: Column, right: Column) -> Column:
+
+def likeness(left: Column, right: Column, left_norm: Column, right_norm: Column) -> Column:
     """0 to 1: the share of the word sequences that two fingerprints have in common (twice the shared over the sum)."""
-    wide = lambda v: F.slice(v, 2 + EXACT, WIDE)
-    apart = _distance(combine(wide(left), wide(right), take_off=True), left[0] - right[0])
-    norm = _distance(wide(left), left[0]) + _distance(wide(right), right[0])
-    near = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - apart / F.when(norm > 0, norm)))
+    apart = norm(combine(left, right, take_off=True))
+    both = left_norm + right_norm
+    near = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - apart / F.when(both > 0, both)))
     return F.when(left == right, 1.0).otherwise(F.coalesce(near, F.lit(0.0)))
 
 
@@ -137,10 +136,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     keys = ["range", "at", "copy", "doc_id", "n_chars", "edited_sha256", "edit"]
     both = rows.select("range", "at", "copy", "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.posexplode(F.when(F.col("copy") == 0, F.array("text", "edited")).otherwise(F.array("text"))).alias("edit", "body"))
     sums = _sums(both, keys, "body")
+    sums = sums.withColumn("norm", norm(F.col("vector")))
     order = Window.partitionBy("range").orderBy("at", "edit")
-    sums = sums.withColumns({"edited_vector": F.lead("vector", 1).over(order), "next_vector": F.lead("vector", 2).over(order)})
+    # After a document's own sum comes that of its edited text, then that of the next document.
+    sums = sums.withColumns({f"{name}_{k}": F.lead(name, k).over(order) for name in ("vector", "norm") for k in (1, 2)})
     out = sums.where("edit = 0 and copy = 0")
+    near = lambda k: likeness(F.col("vector"), F.col(f"vector_{k}"), F.col("norm"), F.col(f"norm_{k}"))
     return out.select(
-        "doc_id", "n_chars", "edited_sha256", digest(F.col("vector")).alias("fingerprint"), digest(F.col("edited_vector")).alias("edited_fingerprint"),
-        likeness(F.col("vector"), F.col("edited_vector")).alias("near_edited"), likeness(F.col("vector"), F.col("next_vector")).alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", digest(F.col("vector")).alias("fingerprint"), digest(F.col("vector_1")).alias("edited_fingerprint"),
+        near(1).alias("near_edited"), near(2).alias("near_next"),
     )

@@ -150,3 +150,14 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     known = known.select("sig_a", "sig_b", "n", F.coalesce("far", "near").alias("component_id"), "rep", "copies").where("component_id <> rep or copies > 1")
     out = described.select("doc_id", "n", "sig_a", "sig_b").join(known.drop("rep", "copies"), ["sig_a", "sig_b", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def distinct(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs' rows without near copies: of each component of join() the row of its smallest doc_id stays, of repeated rows one.
+
+    Rows with a null doc_id cannot be told apart and all stay.
+    """
+    kept = join(docs, width, percent).where("doc_id = component_id").select("doc_id").distinct()
+    kept = kept.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"))
+    first = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return first.unionAll(docs.where("doc_id is null"))

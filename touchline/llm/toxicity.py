@@ -1,12 +1,13 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models of the letters of words, one learned from toxic and one from ordinary documents, give each letter a probability after up to
-ORDER - 1 letters before it in its word. At the highest order each class has its own counts, less an absolute discount; what the
-discount frees goes to a lower order that both classes share: the Kneser-Ney continuation counts of either's documents
-together. So an expression that one class has seen once weighs little, and where neither class has seen a letter follow, the shared
-estimate cancels and only the classes' freed shares differ. A document's evidence is the difference of the two
-log-likelihoods over its words, normalised by its length; a logistic curve, fitted on labelled documents that the counts did not
-use, turns it into a score.
+Two models of the letters of words, one learned from toxic and one from ordinary documents, give each letter a probability after
+up to ORDER - 1 letters before it in its word. Each class has its own counts, less an absolute discount; what the discount frees
+goes to an estimate that both classes share: the Kneser-Ney model of either's documents together, down to continuation
+counts. So an expression that one class has seen a few times weighs nothing, a rare form of a known stem weighs as its stem does,
+and where neither class has seen a letter follow, only the classes' freed shares differ.
+
+A word's evidence is the difference of its two log-likelihoods. A document's is the strong words' evidence normalised by its length,
+beside its strongest words; a logistic curve, fitted on labelled documents that the counts did not use, makes it a score.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +25,19 @@ from pyspark.sql import functions as F
 
 from touchline.llm.sampling import labelled, remainder
 
-ORDER, DISCOUNT = 6, 0.75
+#: Letters of a gram; the discount of a class's counts and of the shared ones.
+ORDER, DISCOUNT, SHARED_DISCOUNT = 6, 2.0, 0.75
+#: Words with more evidence than STRONG count, each up to MOST.
+STRONG, MOST = 4.0, 8.0
 #: At most so many documents of either label are learned from, and so many grams of the models are kept.
 MOST_DOCUMENTS, MOST_GRAMS = 4000, 1_500_000
 #: One in so many of them fits the curve instead of the counts.
 CURVE = 4
+#: The score's column where documents' own columns are kept.
+SCORE = "touchline_score"
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
-KEPT = 200_000
+KEPT, FEATURES = 200_000, 4
 
 
 def grams(word: str) -> list[str]:
@@ -44,39 +51,37 @@ def words(text: str) -> list[str]:
 
 
 def learn(counts: dict[str, tuple[int, int]]) -> tuple[dict[str, float], dict[str, float]]:
-    """From each gram's count in ordinary and in toxic documents: the log-likelihood ratio of its last letter, by gram, and by context for a letter that neither class has seen there."""
-    follows: dict[str, set[str]] = {}
+    """From each gram's count in ordinary and in toxic documents: the log-likelihood ratio of its last letter.
+
+    By gram, and by context for a letter that neither class has seen there.
+    """
+    before: dict[str, dict[str, set[str]]] = {}  # for each shorter context and letter, the letters seen before both
     for gram in counts:
         for k in range(1, len(gram)):
-            follows.setdefault(gram[k:-1], set()).add(gram[k - 1 :])
-    # Continuation counts: how many distinct letters stand before a shorter gram.
-    lower: dict[str, dict[str, set[str]]] = {}
-    for context, before in follows.items():
-        own = lower.setdefault(context, {})
-        for gram in before:
-            own.setdefault(gram[-1], set()).add(gram[0])
-    shared: dict[str, tuple[int, dict[str, int]]] = {h: (sum(map(len, x.values())), {c: len(s) for c, s in x.items()}) for h, x in lower.items()}
-    letters = len({g[-1] for g in counts}) + 1
-
-    def back(context: str, letter: str) -> float:
-        if context not in shared:
-            return back(context[1:], letter) if context else 1 / letters
-        total, each = shared[context]
-        rest = back(context[1:], letter) if context else 1 / letters
-        return max(each.get(letter, 0) - DISCOUNT, 0) / total + DISCOUNT * len(each) / total * rest
-
-    contexts: dict[str, list[list[int]]] = {}
-    for gram, pair in counts.items():
-        own = contexts.setdefault(gram[:-1], [[0, 0], [0, 0]])
-        for k in (0, 1):
-            own[k][0] += pair[k]
-            own[k][1] += pair[k] > 0
-    freed = {h: [DISCOUNT * kinds / total if total else 1.0 for total, kinds in own] for h, own in contexts.items()}
-    by_context = {h: math.log(x[1] / x[0]) for h, x in freed.items()}
+            before.setdefault(gram[k:-1], {}).setdefault(gram[-1], set()).add(gram[k - 1])
+    letters = len({gram[-1] for gram in counts}) + 1
+
+    @cache
+    def shared(context: str, letter: str) -> float:
+        rest = shared(context[1:], letter) if context else 1 / letters
+        each = before.get(context)
+        if each is None:
+            return rest
+        total = sum(map(len, each.values()))
+        return max(len(each.get(letter, ())) - SHARED_DISCOUNT, 0) / total + SHARED_DISCOUNT * len(each) / total * rest
+
+    contexts: dict[str, list[float]] = {}
+    for gram, (ordinary, toxic) in counts.items():
+        own = contexts.setdefault(gram[:-1], [0.0] * 6)
+        for k, n, discount in ((0, ordinary, DISCOUNT), (1, toxic, DISCOUNT), (2, ordinary + toxic, SHARED_DISCOUNT)):
+            own[k] += n
+            own[k + 3] += min(n, discount)
+    by_context = {h: math.log((x[4] / x[1] if x[1] else 1) / (x[3] / x[0] if x[0] else 1)) for h, x in contexts.items()}
     by_gram = {}
     for gram, pair in counts.items():
-        h, low = gram[:-1], back(gram[1:-1], gram[-1])
-        p = [(max(pair[k] - DISCOUNT, 0) / contexts[h][k][0] if contexts[h][k][0] else 0) + freed[h][k] * low for k in (0, 1)]
+        x, both = contexts[gram[:-1]], sum(pair)
+        low = max(both - SHARED_DISCOUNT, 0) / x[2] + x[5] / x[2] * shared(gram[1:-1], gram[-1])
+        p = [max(pair[k] - DISCOUNT, 0) / x[k] + x[k + 3] / x[k] * low if x[k] else low for k in (0, 1)]
         by_gram[gram] = math.log(p[1] / p[0])
     return by_gram, by_context
 
@@ -101,12 +106,12 @@ class Evidence:
             self.known[word] = found
         return found
 
-    def text(self, text: str) -> tuple[float, float, float]:
-        """Mean of the words' differences; their sum over the root of their number; that of the words that speak for toxicity alone."""
+    def text(self, text: str) -> tuple[float, float, float, float]:
+        """The strong words' evidence over the number of words; the strongest word's; the three strongest ones'; the logarithm of the length."""
         each = list(map(self.word, words(text)))
         n = max(len(each), 1)
-        high = sum(x for x in each if x > 3)
-        return sum(each) / n, sum(each) / math.sqrt(n), high / n
+        strong = sorted((x for x in each if x > 0), reverse=True)
+        return sum(min(x, MOST) for x in strong if x > STRONG) / n, sum(strong[:1]), sum(strong[:3]), math.log(n)
 
 
 def _counts(texts: DataFrame) -> dict[str, tuple[int, int]]:
@@ -157,14 +162,14 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int, held: int) -> tuple[tupl
         evidence = Evidence(share.value)
         for batch in batches:
             each = [evidence.text(x) for x in batch.column("text").to_pylist()]
-            columns = zip(*each, strict=True) if each else ((), (), ())
+            columns = zip(*each, strict=True) if each else ((),) * FEATURES
             yield pa.record_batch({f"x{i}": pa.array(x, pa.float64()) for i, x in enumerate(columns)} | {"label": batch.column("label")})
 
-    rows = sample.where(for_curve).mapInArrow(weigh, "x0 double, x1 double, x2 double, label int").toPandas()
-    x, y = rows[["x0", "x1", "x2"]].to_numpy(), rows["label"].to_numpy(dtype=float)
-    scale = np.maximum(x.std(axis=0), 1e-6) if len(x) else np.ones(3)
+    rows = sample.where(for_curve).mapInArrow(weigh, ", ".join([*(f"x{i} double" for i in range(FEATURES)), "label int"])).toPandas()
+    x, y = rows[[f"x{i}" for i in range(FEATURES)]].to_numpy(), rows["label"].to_numpy(dtype=float)
+    scale = np.maximum(x.std(axis=0), 1e-6) if len(x) else np.ones(FEATURES)
     if len(set(y)) < 2:
-        return model, scale, np.array([1.0, 0.0, 0.0, -1.0])
+        return model, scale, np.array([1.0] + [0.0] * (FEATURES - 1) + [-1.0])
     return model, scale, logistic(x / scale, y, np.ones(len(y)))
 
 
@@ -176,22 +181,21 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1)
     THRESHOLD on. Without labels of both kinds the curve is a fixed one. Repeated rows and null ids give a row each; an empty table none.
     """
     rated = scored(docs, labels, folds, held)
-    return rated.select("doc_id", (remainder("doc_id", folds) == held).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+    return rated.select("doc_id", (remainder("doc_id", folds) == held).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def scored(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of docs (None: doc_id) and _score."""
+    """The columns `keep` of docs (None: doc_id) and SCORE: another column of that name would clash."""
     model, scale, curve = fit(docs, labels, folds, held)
     share = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(*(F.col(f"`{c}`") for c in keep or ["doc_id"]), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
+    keep = keep or ["doc_id"]
+    read = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         evidence = Evidence(share.value)
         for batch in batches:
-            x = np.array([evidence.text(t) for t in batch.column("_text").to_pylist()]).reshape(-1, 3) / scale
+            x = np.array([evidence.text(t or "") for t in batch.column("text").to_pylist()]).reshape(-1, FEATURES) / scale
             p = 1 / (1 + np.exp(-np.clip(x @ curve[:-1] + curve[-1], -30, 30)))
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.record_batch([*columns, pa.array(p)], names=[*batch.schema.names[:-1], "_score"])
+            yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(p, pa.float64())], names=[*keep, SCORE])
 
-    schema = kept.drop("_text").schema.add("_score", "double")
-    return kept.mapInArrow(rate, schema)
+    return read.mapInArrow(rate, read.select(*(F.col(f"`{c}`") for c in keep)).schema.add(SCORE, "double"))
