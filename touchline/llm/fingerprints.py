@@ -30,16 +30,16 @@ def _hashes(column: Column, n: int, salt: str) -> list[Column]:
     return [F.xxhash64(F.lit(f"{salt}{i}"), column).bitwiseAND(F.lit(_LOW)) for i in range(n)]
 
 
-def _sequences(line: Column) -> Column:
-    """One hash for each word and the two after it, so that a line of n words has n."""
-    words = F.filter(F.split(line, " "), lambda w: w != "")
+def _sequences(words: Column) -> Column:
+    """One hash for each word and the two after it, so that a line of n words has n. words: a column of its own, else it is made anew for each word."""
     return F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
 
 
 def _sums(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     """Per key the fingerprint of its text, as an array of 1 + EXACT + WIDE longs."""
     lines = texts.select(*keys, F.explode(F.split(F.col(text), "\n")).alias("line"))
-    lines = lines.select(*keys, "line", F.posexplode_outer(_sequences(F.col("line"))).alias("nth", "gram"))
+    lines = lines.select(*keys, "line", F.filter(F.split("line", " "), lambda w: w != "").alias("words"))
+    lines = lines.select(*keys, "line", F.posexplode_outer(_sequences(F.col("words"))).alias("nth", "gram"))
     once = F.coalesce(F.col("nth"), F.lit(0)) == 0
     parts = [F.count("gram").alias("v0")]
     parts += [F.sum(F.when(once, h).otherwise(F.lit(0).cast("long"))).alias(f"v{1 + i}") for i, h in enumerate(_hashes(F.col("line"), EXACT, "paragraph"))]
@@ -72,23 +72,30 @@ def _high(x: Column) -> Column:
     return F.shiftright(x - _low(x), 32)
 
 
-def norm(vector: Column) -> Column:
-    """Estimate of the squared norm of a (difference of) multisets of sequences: the lanes' squares, less half the count each."""
-    half = F.floor(vector[0] / 2).cast("long") * F.lit(_BOTH)
+def with_norm(df: DataFrame, vector: str, name: str) -> DataFrame:
+    """Adds an estimate of the squared norm of a (difference of) multisets of sequences: the lanes' squares, less half the count each.
+
+    The half is a column of its own, as a function over an array evaluates all it refers to for each element.
+    """
+    half = f"{name}_half"
+    df = df.withColumn(half, F.floor(F.col(vector)[0] / 2).cast("long") * F.lit(_BOTH))
 
     def add(total: Column, x: Column) -> Column:
-        low, high = _low(x - half).cast("double"), _high(x - half).cast("double")
+        low, high = _low(x - F.col(half)).cast("double"), _high(x - F.col(half)).cast("double")
         return total + low * low + high * high
 
-    return F.aggregate(F.slice(vector, 2 + EXACT, WIDE), F.lit(0.0), add) * (2.0 / WIDE)
+    return df.withColumn(name, F.aggregate(F.slice(vector, 2 + EXACT, WIDE), F.lit(0.0), add) * (2.0 / WIDE)).drop(half)
 
 
-def likeness(left: Column, right: Column, left_norm: Column, right_norm: Column) -> Column:
-    """0 to 1: the share of the word sequences that two fingerprints have in common (twice the shared over the sum)."""
-    apart = norm(combine(left, right, take_off=True))
-    both = left_norm + right_norm
-    near = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - apart / F.when(both > 0, both)))
-    return F.when(left == right, 1.0).otherwise(F.coalesce(near, F.lit(0.0)))
+def with_likeness(df: DataFrame, left: str, right: str, left_norm: str, right_norm: str, name: str) -> DataFrame:
+    """Adds, from 0 to 1, the share of the word sequences that two fingerprints have in common (twice the shared over the sum)."""
+    apart = f"{name}_apart"
+    df = df.withColumn(f"{name}_difference", combine(F.col(left), F.col(right), take_off=True))
+    df = with_norm(df, f"{name}_difference", apart)
+    both = F.col(left_norm) + F.col(right_norm)
+    near = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col(apart) / F.when(both > 0, both)))
+    equal = F.col(left) == F.col(right)
+    return df.withColumn(name, F.when(equal, 1.0).otherwise(F.coalesce(near, F.lit(0.0)))).drop(apart, f"{name}_difference")
 
 
 def _tops(docs: DataFrame, own: Column) -> list[tuple[int, int]]:
@@ -136,13 +143,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     keys = ["range", "at", "copy", "doc_id", "n_chars", "edited_sha256", "edit"]
     both = rows.select("range", "at", "copy", "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.posexplode(F.when(F.col("copy") == 0, F.array("text", "edited")).otherwise(F.array("text"))).alias("edit", "body"))
     sums = _sums(both, keys, "body")
-    sums = sums.withColumn("norm", norm(F.col("vector")))
+    sums = with_norm(sums, "vector", "norm")
     order = Window.partitionBy("range").orderBy("at", "edit")
     # After a document's own sum comes that of its edited text, then that of the next document.
     sums = sums.withColumns({f"{name}_{k}": F.lead(name, k).over(order) for name in ("vector", "norm") for k in (1, 2)})
     out = sums.where("edit = 0 and copy = 0")
-    near = lambda k: likeness(F.col("vector"), F.col(f"vector_{k}"), F.col("norm"), F.col(f"norm_{k}"))
-    return out.select(
-        "doc_id", "n_chars", "edited_sha256", digest(F.col("vector")).alias("fingerprint"), digest(F.col("vector_1")).alias("edited_fingerprint"),
-        near(1).alias("near_edited"), near(2).alias("near_next"),
-    )
+    for k, name in ((1, "near_edited"), (2, "near_next")):
+        out = with_likeness(out, "vector", f"vector_{k}", "norm", f"norm_{k}", name)
+    return out.select("doc_id", "n_chars", "edited_sha256", digest(F.col("vector")).alias("fingerprint"), digest(F.col("vector_1")).alias("edited_fingerprint"), "near_edited", "near_next")
