@@ -1,5 +1,8 @@
 """All registered queries of the match-analytics engine, and their SQL."""
 
+from touchline.plans import match_queries
+
 FLAGSHIP = "pass_completion_by_player"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+_MODULES = [match_queries]
+QUERIES: dict = {name: function for module in _MODULES for name, function in module.QUERIES.items()}
+ORACLE_SQL: dict = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
