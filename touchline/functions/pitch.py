@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from touchline.functions.bind import let
+
 # Limits of the published definitions, in centimetres, degrees and seconds.
 PLAUSIBLE_MARGIN = 300.0
 PROGRESSIVE_GAIN = 914.4
@@ -202,8 +204,8 @@ def project(h: Column, x: Column, y: Column) -> tuple[Column, Column]:
 
 def softmax(logits: Column) -> Column:
     """Softmax of an array, shifted by its largest entry."""
-    raised = F.transform(logits, lambda v: F.exp(v - F.array_max(logits)))
-    return F.transform(raised, lambda v: v / F.aggregate(raised, F.lit(0.0), lambda s, w: s + w))
+    raised = let(F.array_max(logits), lambda top: F.transform(logits, lambda v: F.exp(v - top)))
+    return let(raised, lambda r: let(F.aggregate(r, F.lit(0.0), lambda s, w: s + w), lambda total: F.transform(r, lambda v: v / total)))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:

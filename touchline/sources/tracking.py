@@ -77,3 +77,25 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(v / 40).cast("long").alias("clip"), (v % 40).alias("tracklet_id"), start.alias("start"), (start + 10 + v * 7 % 30).alias("end"), (v * 3 % 2).alias("team"), F.col("label").cast("long").alias("label"),
         F.col("embedding").cast("array<double>").alias("embedding"),
     )
+
+
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clip, team, frame, player_id, x, y (unit): two teams of ten, shaken about their places."""
+    e, who = F.col("e"), F.col("e") % 20
+    rows = _events(spark, sf_dir).select("clip", F.floor(who / 10).cast("long").alias("team"), F.floor(F.col("at") / 20).cast("long").alias("frame"), who.alias("player_id"), "e")
+    x = (F.floor(F.col("player_id") % 10 / 3) * 20 + 10 + e * 7 % 11) / 100
+    y = (F.col("player_id") * 37 % 90 + e * 13 % 7) / 100
+    return rows.select("clip", "team", "frame", "player_id", x.alias("x"), y.alias("y"))
+
+
+def frame_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clip, tracklet_id, frame, feature: the vectors as frames of tracklets of ten."""
+    v = F.col("vec_id").cast("long")
+    return table(spark, sf_dir, "embeddings").select(F.floor(v / 40).cast("long").alias("clip"), F.floor(v % 40 / 10).cast("long").alias("tracklet_id"), (v % 40).alias("frame"), F.col("embedding").cast("array<double>").alias("feature"))
+
+
+def benchmark_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """candidate, sequence, role, metric, value from the line items."""
+    rows = table(spark, sf_dir, "lineitem")
+    role = F.when(F.col("l_linenumber") % 2 == 0, "test").otherwise("tuning")
+    return rows.select(F.concat("l_returnflag", "l_linestatus").alias("candidate"), (F.col("l_suppkey") % 10).alias("sequence"), role.alias("role"), F.lit("quantity").alias("metric"), F.col("l_quantity").alias("value"))
