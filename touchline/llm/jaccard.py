@@ -64,7 +64,7 @@ def documents(docs: DataFrame, width: int, percent: int) -> DataFrame:
             prefixes: list = [None, None, None, None]
             mins = members = None
             p = prefix_length(n, percent)
-            if n and (percent * n + 99) // 100 < n:  # else only equal sets can link
+            if n and 100 * n >= percent * (n + 1):  # else no other set is alike enough, not even one with a single token more
                 df = frequency[np.searchsorted(keys, s & _MASK)]
                 if (df == 1).sum() < p:
                     ties = [s, mix(s ^ _SALTS[1]), mix(s ^ _SALTS[2])]
