@@ -46,8 +46,8 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, by: str, total: int
     sizes = docs.groupBy(F.col(by).alias("source")).agg(F.sum(size).alias("size"))
     weight = F.lit(1.0)
     if weights is not None:
-        table = docs.sparkSession.createDataFrame([*weights.items()] or [(None, 0.0)], "source string, weight double")
-        sizes = sizes.join(F.broadcast(table), F.col("source").eqNullSafe(table["source"]), "left").select(sizes["*"], F.coalesce("weight", F.lit(0.0)).alias("weight"))
+        table = docs.sparkSession.createDataFrame([*weights.items()] or [(None, 0.0)], "weighted string, weight double")  # what the caller gave
+        sizes = sizes.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("weighted")), "left").select("source", "size", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     else:
         sizes = sizes.withColumn("weight", weight)
     all_weight, all_size = sizes.where("weight > 0").agg(F.sum("weight"), F.sum("size")).first()
