@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK_BYTES = 12 << 20
-PART_BYTES = 8 << 20
+BLOCK_BYTES = 8 << 20
+PART_BYTES = 6 << 20
 _SENT = "space int, part int, block int, keys binary, counts binary"
 _TOTALS = "block int, space int, part int, totals binary"
 
