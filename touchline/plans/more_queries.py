@@ -6,11 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.functions import pitch as G
+from touchline.operators import association as A
 from touchline.operators import benchmark as B
+from touchline.operators import evaluation as E
 from touchline.operators import evidence as V
 from touchline.operators import formation as M
+from touchline.operators import governance as Q
+from touchline.operators import pairs as P
 from touchline.operators import robustness as X
 from touchline.operators import tracker as T
+from touchline.operators.pairs import both_ways
+from touchline.plans import stages
 from touchline.plans.match_queries import _EVENTS
 from touchline.sources import files
 from touchline.sources import tracking as S
@@ -318,3 +324,179 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     frames = S.possessors(spark, sf).select("clip", "frame", F.col("possessor").alias("player_id"), "team", (F.col("frame") % 97 == 0).alias("out"))
     return live.possession_events(frames)
+
+
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    return P.scored_pairs(S.features(spark, sf))
+
+
+def _parts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = S.frame_features(spark, sf)
+    parts = F.array(*(F.slice("feature", 16 * k + 1, 16) for k in range(4)))
+    seen = F.array(*((1 + (F.col("frame") * (k + 3)) % 7) / 7 for k in range(4)))
+    return rows.select("clip", "tracklet_id", "frame", parts.alias("parts"), seen.alias("visibility"))
+
+
+@query("representations")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return A.representations(_parts(spark, sf), view=0.3).select("clip", "tracklet_id", "prototype", "n_frames", "starved")
+
+
+@query("part_similarity")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    reps = A.representations(_parts(spark, sf), view=0.3)
+    ids = reps.select("clip", "tracklet_id").distinct()
+    pairs = ids.select("clip", F.col("tracklet_id").alias("a")).join(ids.select("clip", F.col("tracklet_id").alias("b")), "clip").where("a < b")
+    return A.part_similarity(pairs, reps).withColumn("score", F.round("score", 5))
+
+
+@query("reranked_pairs")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return A.reranked(_scored(spark, sf)).withColumn("score", F.round("score", 5))
+
+
+_PAIR_FEATURES = """with ft as (select vec_id // 40 as clip, vec_id % 40 as tracklet_id, vec_id % 40 * 25 as start, vec_id % 40 * 25 + 10 + vec_id * 7 % 30 as stop, vec_id * 3 % 2 as team, embedding::double[] as v from embeddings),
+sc as (select a.clip, a.tracklet_id as a, b.tracklet_id as b, a.start as s1, a.stop as e1, b.start as s2, b.stop as e2, list_cosine_similarity(a.v, b.v) as score from ft a join ft b on a.clip = b.clip and (a.start < b.start or (a.start = b.start and a.tracklet_id < b.tracklet_id)) where b.start - a.stop >= -2 and a.team = b.team),
+bw as (select clip, a as item, b as partner, score from sc union all select clip, b, a, score from sc),
+rk as (select *, row_number() over w as r, lead(score) over w as second, count(*) over (partition by clip, item) as pool from bw window w as (partition by clip, item order by score desc, partner)),
+mg as (select *, case when r = 1 then score - coalesce(second, 0) else -1 end as margin from rk)
+select s.clip, s.a, s.b, round(s.score, 5) as score, round(case when x.margin >= 0 and y.margin >= 0 then least(x.margin, y.margin) else -1 end, 5) as margin, case when x.margin >= 0 and y.margin >= 0 then 1.0 else 0.0 end::double as mutual, greatest(0, s2 - e1) / 25 as gap_s, least(e1 - s1, e2 - s2) + 1 as n_frames, least(x.pool, y.pool) as n_candidates
+from sc s join mg x on x.clip = s.clip and x.item = s.a and x.partner = s.b join mg y on y.clip = s.clip and y.item = s.b and y.partner = s.a"""
+
+
+@query("pair_features", _PAIR_FEATURES)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return A.pair_features(_scored(spark, sf)).withColumns({"score": F.round("score", 5), "margin": F.round("margin", 5)})
+
+
+def _episodes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = both_ways(_scored(spark, sf))
+    return rows.select((F.col("clip") * 1000 + F.col("item")).alias("episode"), "score", F.col("same").alias("correct"), ((F.col("partner") * 37 % 11) / 11).alias("other"))
+
+
+@query("fusion_weights")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    found = A.fusion_weights(_episodes(spark, sf), ["score", "other"])
+    return spark.createDataFrame([(k, round(v, 4)) for k, v in found.items()], "channel string, weight double")
+
+
+@query("merge_frontier")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return A.frontier(_episodes(spark, sf)).withColumn("threshold", F.round("threshold", 5))
+
+
+@query("merge_hull")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return A.hull(A.frontier(_episodes(spark, sf))).withColumn("threshold", F.round("threshold", 5))
+
+
+@query("bootstrap_delta")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    rows = P.retrieval(_scored(spark, sf)).select(F.col("clip").alias("cluster"), F.col("top1_correct").alias("hit_a"), (F.col("average_precision") > 0.3).alias("hit_b"))
+    return A.bootstrap_delta(rows)
+
+
+@query("zero_wrong_frontier")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return A.zero_wrong(P.merge_counts(P.mutual_best(_scored(spark, sf)), [0.0, 0.2, 0.3, 0.4, 0.5]))
+
+
+def _evidence(spark: SparkSession, sf: str) -> DataFrame:
+    t, none = F.col("tracklet_id"), F.lit(None)
+    return S.features(spark, sf).select(
+        "clip", "tracklet_id", "start", "end", F.when(t % 5 != 0, F.col("team")).alias("team"), F.when(t % 9 == 0, F.concat(F.lit("n"), F.col("label").cast("string"))).otherwise(none.cast("string")).alias("anchor"), "embedding",
+        (t * 13 % 100 / 100).alias("entry_x"), (t * 29 % 100 / 100).alias("entry_y"), (t * 17 % 100 / 100).alias("exit_x"), (t * 31 % 100 / 100).alias("exit_y"),
+    )
+
+
+@query("two_pass_threads")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return A.two_pass_threads(_evidence(spark, sf), body=(8.0, -1.0))
+
+
+@query("global_pairs")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _evidence(spark, sf).select("clip", "tracklet_id", "start", "end", "team", F.lit("player").alias("role"), "embedding", (F.col("entry_x") * 1920).alias("start_x"), (F.col("entry_y") * 1080).alias("start_y"), (F.col("exit_x") * 1920).alias("end_x"), (F.col("exit_y") * 1080).alias("end_y"))
+    found = A.global_pairs(P.pairs(rows), 1 - P.cosine(F.col("a_embedding"), F.col("b_embedding")), 0.9, most_gap_s=20.0)
+    return found.select("clip", "a_tracklet_id", "b_tracklet_id", "reason", F.round("affinity", 5).alias("affinity"))
+
+
+@query("oracle_anchors")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    rows = S.features(spark, sf).select("clip", "tracklet_id", F.concat(F.lit("n"), F.col("label").cast("string")).alias("name"))
+    return A.oracle_anchors(rows, 0.6, 0.1, seed=3)
+
+
+@query("merge_quality")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    dets = S.detections(spark, sf)
+    threads = dets.select("clip", "tracklet_id").distinct().withColumn("thread_id", F.floor(F.col("tracklet_id") / 20))
+    return A.merge_quality(threads, E.composition(dets, S.true_boxes(spark, sf)))
+
+
+_BOXES = """with ev as (select event_id as e, event_id // 400 as clip, event_id % 400 as pos from events),
+truth as (select clip, pos // 4 as frame, e % 4 as gt_id, cast((e % 4) * 40 + pos // 4 * 2 as double) as x, cast(100 + (e % 4) * 3 as double) as y, 60.0::double as w, cast(60 + (e % 4) * 30 as double) as h from ev where e % 23 <> 0),
+dets as (select clip, pos // 4 as frame, e as det_id, (case when (pos // 4 // 10) % 5 = 4 then (e % 4 + 1) % 4 else e % 4 end) * 10 + pos // 4 // 25 as tracklet_id, cast((e % 4) * 40 + pos // 4 * 2 + e * 7 % 13 - 6 as double) as x, cast(100 + (e % 4) * 3 + e * 11 % 9 - 4 as double) as y, 60.0::double as w, cast(60 + (e % 4) * 30 + e * 5 % 7 - 3 as double) as h from ev where e % 11 <> 0),
+ov as (select d.clip, d.frame, d.det_id, d.tracklet_id, g.gt_id, (greatest(0, least(d.x + d.w, g.x + g.w) - greatest(d.x, g.x)) * greatest(0, least(d.y + d.h, g.y + g.h) - greatest(d.y, g.y))) as inter, d.w * d.h + g.w * g.h as total from dets d join truth g on d.clip = g.clip and d.frame = g.frame),
+io as (select *, inter / (total - inter) as iou from ov) """
+
+
+@query("anchored_subjects", _BOXES + ", v as (select clip, tracklet_id, gt_id, count(distinct frame) as n from io where iou >= 0.3 group by all) select clip, tracklet_id, gt_id, n as n_frames from v qualify row_number() over (partition by clip, tracklet_id order by n desc, gt_id) = 1")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return A.anchored_subjects(S.detections(spark, sf), S.true_boxes(spark, sf), 0.3)
+
+
+@query("joined_features", _BOXES + ", a as (select * from io where iou >= 0.3 qualify row_number() over (partition by clip, frame, gt_id order by iou desc, det_id) = 1) select clip, frame, gt_id as tracklet_id, det_id, round(iou, 5) as iou from a qualify row_number() over (partition by clip, frame, det_id order by iou desc, gt_id desc) = 1")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    boxes = S.true_boxes(spark, sf).withColumnRenamed("gt_id", "tracklet_id")
+    return A.joined_features(boxes, S.detections(spark, sf).drop("tracklet_id"), 0.3).withColumn("iou", F.round("iou", 5))
+
+
+@query("gap_anchors", "with f as (select event_id // 400 as clip, event_id % 400 as frame, event_id % 31 < 20 as good from events), g as (select *, max(case when good then frame end) over (partition by clip order by frame rows between unbounded preceding and 1 preceding) as l, min(case when good then frame end) over (partition by clip order by frame rows between 1 following and unbounded following) as r, sum(good::int) over (partition by clip order by frame) as b from f), h as (select *, row_number() over (partition by clip, b order by frame) - 1 as i from g where not good) select clip, frame, unnest(list_filter([l, r], lambda x: x is not null)) as anchor from h where i % 5 = 0")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    e = F.col("event_id")
+    rows = S.table(spark, sf, "events").select(F.floor(e / 400).cast("long").alias("clip"), (e % 400).alias("frame"), (e % 31 < 20).alias("good"))
+    return A.gap_anchors(rows)
+
+
+@query("frame_exits")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    boxes = S.true_boxes(spark, sf)
+    matches = E.best_boxes(S.detections(spark, sf), boxes).groupBy("clip", "gt_id", "frame").agg(F.min("tracklet_id").alias("hyp_id"))
+    switches = E.switch_instances(matches).select("clip", "gt_id", (F.col("frame") - 20).alias("from_frame"), F.col("frame").alias("to_frame"))
+    return A.frame_exits(switches, boxes, 400.0, 400.0)
+
+
+@query("cosine_clusters")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return A.cosine_clusters(S.features(spark, sf).select("clip", F.col("tracklet_id").alias("entity"), "embedding"), 0.3)
+
+
+@query("serving_diagnostics", "with v as (select case when event_id % 2 = 0 then 'gap' else 'body' end as channel, (event_id * 7 % 100)::double as value from events) select channel, count(*) as n, median(value) as median, min(value) as least, max(value) as most, round(avg((value not between 0 and case when channel = 'gap' then 30 else 80 end)::int), 4) as outside, avg((value not between 0 and case when channel = 'gap' then 30 else 80 end)::int) > 0.5 as flagged from v group by channel")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    e = F.col("event_id")
+    rows = S.table(spark, sf, "events").select(F.when(e % 2 == 0, "gap").otherwise("body").alias("channel"), (e * 7 % 100).cast("double").alias("value"))
+    return A.serving_diagnostics(rows, {"gap": (0.0, 30.0), "body": (0.0, 80.0)})
+
+
+def _licences(spark: SparkSession, sf: str) -> DataFrame:
+    names = F.array(*map(F.lit, ["MIT", "Apache-2.0", "AGPL-3.0", "unknown", "bsd-3", "CC-BY-NC 4.0", "custom"]))
+    k = F.col("p_partkey")
+    return S.table(spark, sf, "part").select((k % 50).alias("run_id"), F.lit("detect").alias("stage"), F.col("p_brand").alias("model"), F.lit("weights").alias("axis"), F.when(k % 50 < 40, F.get(names, (k % 2).cast("int"))).otherwise(F.get(names, (k % 7).cast("int"))).alias("value"))
+
+
+@query("licence_certification", "with m as (select p_partkey % 50 as run_id, ['MIT','Apache-2.0','AGPL-3.0','unknown','bsd-3','CC-BY-NC 4.0','custom'][(case when p_partkey % 50 < 40 then p_partkey % 2 else p_partkey % 7 end) + 1] as v from part) select run_id, count(*) filter (v not in ('MIT', 'Apache-2.0', 'bsd-3')) = 0 as passed, count(*) filter (v not in ('MIT', 'Apache-2.0', 'bsd-3')) as n_findings from m group by run_id")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.certify(_licences(spark, sf))
+
+
+@query("config_hash")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.config_hash(S.table(spark, sf, "part").select(F.col("p_brand").alias("config"), F.col("p_name").alias("path"), F.col("p_size").cast("string").alias("value")))
+
+
+@query("clip_pipeline")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    boxes = S.detections(spark, sf)
+    teams = T.iou_tracker(boxes).select("clip", F.col("track_id").alias("tracklet_id"), (F.col("track_id") % 2).alias("team")).distinct()
+    return stages.run(boxes, S.ball(spark, sf), teams)["events"]
