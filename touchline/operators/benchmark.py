@@ -29,7 +29,7 @@ def compare(rows: DataFrame, baseline: str, tolerance: float, higher_is_better:
 def run_board(runs: DataFrame) -> DataFrame:
     """Completed runs by configuration and video: how many, mean and range of each metric. runs: run_id, config, video, status, metrics (map)."""
     rows = runs.where("status = 'completed' and metrics is not null").select("config", "video", "run_id", F.explode("metrics").alias("metric", "value"))
-    out = rows.groupBy("config", "video", "metric").agg(F.countDistinct("run_id").alias("n_runs"), F.round(F.avg("value"), 4).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"))
+    out = rows.groupBy("config", "video", "metric").agg(F.countDistinct("run_id").alias("n_runs"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"))
     return out.orderBy("config", "video", "metric")
 
 

@@ -56,7 +56,7 @@ def _runs(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("o_orderkey").alias("run_id"), F.col("o_orderpriority").alias("config"), (F.col("o_custkey") % 5).alias("video"), status.alias("status"), F.create_map(F.lit("price"), F.col("o_totalprice")).alias("metrics"))
 
 
-@query("run_board", "select o_orderpriority as config, o_custkey % 5 as video, 'price' as metric, count(distinct o_orderkey) as n_runs, round(avg(o_totalprice), 4) as mean, min(o_totalprice) as least, max(o_totalprice) as most from orders where o_orderstatus = 'F' group by all")
+@query("run_board", "select o_orderpriority as config, o_custkey % 5 as video, 'price' as metric, count(distinct o_orderkey) as n_runs, round(avg(o_totalprice), 6) as mean, min(o_totalprice) as least, max(o_totalprice) as most from orders where o_orderstatus = 'F' group by all")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return B.run_board(_runs(spark, sf))
 
