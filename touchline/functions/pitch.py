@@ -232,3 +232,29 @@ def slot_index(left_to_right: Column, role: Column) -> Column:
 
 def slot_side_role(slot: Column) -> tuple[Column, Column]:
     return F.floor(slot / 13).cast("int"), (slot % 13 + 1).cast("int")
+
+
+def inverse(h: Column) -> Column:
+    """Inverse of a 3 by 3 array by cofactors; null where there is none."""
+    minor = lambda a, b, c, d: h[a][b] * h[c][d] - h[a][d] * h[c][b]
+    rows = [[minor(1, 1, 2, 2), -minor(0, 1, 2, 2), minor(0, 1, 1, 2)], [-minor(1, 0, 2, 2), minor(0, 0, 2, 2), -minor(0, 0, 1, 2)], [minor(1, 0, 2, 1), -minor(0, 0, 2, 1), minor(0, 0, 1, 1)]]
+    det = h[0][0] * rows[0][0] + h[0][1] * rows[1][0] + h[0][2] * rows[2][0]
+    return F.when(F.abs(det) > 1e-12, let(det, lambda d: F.array(*(F.array(*(v / d for v in row)) for row in rows))))
+
+
+def reprojected(h: Column, points: list[tuple[float, float]], width: float, height: float, margin: float = 0.02) -> Column:
+    """Pitch points back in the picture: those in front of the camera and within the frame and its margin, as an array."""
+    edge = margin * max(width, height)
+    marks = F.array(*(F.struct(F.lit(float(x)).alias("px"), F.lit(float(y)).alias("py")) for x, y in points))
+
+    def place(inv: Column) -> Column:
+        def one(p: Column) -> Column:
+            at = lambda i: inv[i][0] * p["px"] + inv[i][1] * p["py"] + inv[i][2]
+            return F.struct((at(0) / at(2)).alias("x"), (at(1) / at(2)).alias("y"))
+
+        return F.transform(marks, one)
+
+    depth = lambda x, y: h[2][0] * x + h[2][1] * y + h[2][2]
+    ahead = F.signum(depth(F.lit(width / 2), F.lit(height)))
+    inside = lambda p: p["x"].between(-edge, width + edge) & p["y"].between(-edge, height + edge) & (F.signum(depth(p["x"], p["y"])) == ahead)
+    return let(inverse(h), lambda inv: F.filter(place(inv), inside))

@@ -182,14 +182,50 @@ def sca_by_club(chained: DataFrame) -> DataFrame:
     return shot_creating_actions(chained).groupBy("match_id", "club_id").agg(F.count("*").alias("sca"))
 
 
+def coverage(positions: DataFrame) -> DataFrame:
+    """Per player the frames in which it is seen, over all frames of the clip. positions: clip, frame, player_id, seen (boolean)."""
+    total = positions.groupBy("clip").agg(F.countDistinct("frame").alias("total_frames"))
+    own = positions.groupBy("clip", "player_id").agg(F.count(F.when(F.col("seen"), 1)).alias("observed_frames"))
+    return own.join(total, "clip").withColumn("observed_fraction", F.round(F.col("observed_frames") / F.col("total_frames"), 4))
+
+
+def class_counts(actions: DataFrame) -> DataFrame:
+    """Actions per class and slot, and how many have a box."""
+    return actions.groupBy("class_id", "slot").agg(F.count("*").alias("n"), F.count(F.when(F.col("has_box"), 1)).alias("with_box"))
+
+
+def _creation_by_half(chained: DataFrame, shot_value: DataFrame) -> DataFrame:
+    """creation() with the half of the credited action; gca stays null without goals."""
+    halves = chained.select("match_id", "event_id", "half")
+    passes = key_passes(chained, shot_value).withColumnRenamed("pass_event_id", "event_id").join(halves, ["match_id", "event_id"])
+    passes = passes.select("match_id", "half", F.col("passer_id").alias("player_id"), "club_id", F.lit(1).alias("kp"), F.col("xa"), F.lit(0).alias("sca"))
+    actions = shot_creating_actions(chained).withColumnRenamed("action_event_id", "event_id").join(halves, ["match_id", "event_id"])
+    actions = actions.select("match_id", "half", "player_id", "club_id", F.lit(0).alias("kp"), F.lit(0.0).alias("xa"), F.lit(1).alias("sca"))
+    return passes.unionByName(actions).groupBy(*PLAYER).agg(F.sum("kp").alias("key_passes"), F.round(F.sum("xa"), 6).alias("xa"), F.sum("sca").alias("sca"))
+
+
 def tier_one(chained: DataFrame, value: Callable[[DataFrame], DataFrame], pitch: G.Pitch = G.FIFA) -> DataFrame:
-    """One wide row per match, half and player that any of the parts knows: shots and xG, passing, progression, take-ons, duels, balls won and lost."""
+    """One wide row per match, half and player that any of the parts knows: shots and xG, passing, progression, creation, take-ons, duels, balls won and lost.
+
+    Counters are 0 where a part knows nothing of a player; gca is null, as there are no goal labels.
+    """
     from touchline.operators import duels
 
-    shots = value(chained).where("player_id is not null").groupBy(*PLAYER).agg(F.count("*").alias("shots"), F.round(F.sum("xg"), 6).alias("xg"))
-    parts = [shots, passing(chained, pitch), progression(chained, pitch), duels.take_ons_by_player(chained), duels.duels_by_player(chained), duels.balls_by_player(chained, pitch)]
+    valued = value(chained)
+    shots = valued.where("player_id is not null").groupBy(*PLAYER).agg(F.count("*").alias("shots"), F.round(F.sum("xg"), 6).alias("xg"))
+    parts = [shots, passing(chained, pitch), progression(chained, pitch), _creation_by_half(chained, valued), duels.take_ons_by_player(chained), duels.duels_by_player(chained), duels.balls_by_player(chained, pitch)]
     out = parts[0]
     for part in parts[1:]:
         out = out.join(part, PLAYER, "full_outer")
     counts = [c for c in out.columns if c not in PLAYER]
-    return out.select(*PLAYER, *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in counts))
+    return out.select(*PLAYER, *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in counts), F.lit(None).cast("long").alias("gca"))
+
+
+def headline(sheet: DataFrame) -> DataFrame:
+    """The columns that may stand in a headline table: no unvalidated detector among them."""
+    return sheet.drop("take_ons", "take_ons_completed", "gca")
+
+
+def abstentions(chained: DataFrame, pitch: G.Pitch = G.FIFA) -> DataFrame:
+    """Per match and half, everything that the sheet left out, by reason."""
+    return passing_exclusions(chained).join(progression_exclusions(chained, pitch).withColumnsRenamed({"skipped_no_actor": "moves_no_actor", "skipped_no_end": "moves_no_end"}), ["match_id", "half"], "full_outer")

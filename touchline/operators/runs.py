@@ -270,3 +270,12 @@ def persistent_switches(matches: DataFrame, fps: float = 25.0, thresholds: tuple
 def rolling(column: str, radius: int, keys: list[str]) -> Column:
     """Centred moving average over rows, cut at the edges."""
     return F.avg(column).over(Window.partitionBy(*keys).orderBy("frame").rowsBetween(-radius, radius))
+
+
+def possession_sheet(events: DataFrame, segments: DataFrame, fps: float = 25.0) -> DataFrame:
+    """Passes, missed passes, touches, restarts and seconds with the ball per clip and player. events: clip, kind, player_id; segments: as from possession_segments()."""
+    kinds = [F.count(F.when(F.col("kind") == k, 1)).alias(n) for k, n in (("pass", "passes"), ("missed_pass", "missed_passes"), ("touch", "touches"), ("restart", "restarts"))]
+    counts = events.where("player_id is not null").groupBy("clip", "player_id").agg(*kinds)
+    held = segments.groupBy("clip", F.col("possessor").alias("player_id")).agg(F.round(F.sum((F.col("end") - F.col("start")) / fps), 2).alias("possession_seconds"))
+    out = counts.join(held, ["clip", "player_id"], "full_outer")
+    return out.fillna(0, ["passes", "missed_passes", "touches", "restarts"]).fillna(0.0, ["possession_seconds"])

@@ -231,3 +231,19 @@ def sampled_crops(dets: DataFrame, per_tracklet: int = 8, least_height: float =
     alone = alone.withColumn("bucket", F.floor((F.col("frame") - F.min("frame").over(whole)) * per_tracklet / span))
     best = Window.partitionBy("clip", "tracklet_id", "bucket").orderBy((F.col("confidence") * F.col("h")).desc(), "frame")
     return alone.withColumn("rank", F.row_number().over(best)).where("rank = 1").select("clip", "tracklet_id", "bucket", "frame", "det_id")
+
+
+def gate_behaviour(tracklets: DataFrame, least_confidence: float = 0.6, tolerance: int = 2) -> DataFrame:
+    """How often the team gate forbids pairs that pass the time gate, by kind of pair, for trusted labels and for all.
+
+    tracklets: clip, tracklet_id, start, end, team, confidence, gt_id, gt_team (null: not scored).
+    """
+    side = lambda p: tracklets.select("clip", *(F.col(c).alias(f"{p}_{c}") for c in tracklets.columns if c != "clip"))
+    early = (F.col("a_start") < F.col("b_start")) | ((F.col("a_start") == F.col("b_start")) & (F.col("a_tracklet_id") < F.col("b_tracklet_id")))
+    rows = side("a").join(side("b"), "clip").where(early & (F.col("b_start") - F.col("a_end") >= -tolerance))
+    kind = F.when(F.col("a_gt_id") == F.col("b_gt_id"), "same_player").when(F.col("a_gt_team") != F.col("b_gt_team"), "opponents").when(F.col("a_gt_team") == F.col("b_gt_team"), "same_team")
+    known = F.col("a_team").isin("home", "away") & F.col("b_team").isin("home", "away") & (F.col("a_team") != F.col("b_team"))
+    sure = (F.coalesce("a_confidence", F.lit(1.0)) >= F.col("least")) & (F.coalesce("b_confidence", F.lit(1.0)) >= F.col("least"))
+    rows = rows.withColumn("kind", kind).where("kind is not null").select("*", F.inline(F.array(F.struct(F.lit("configured").alias("arm"), F.lit(least_confidence).alias("least")), F.struct(F.lit("label_only").alias("arm"), F.lit(0.0).alias("least")))))
+    out = rows.groupBy("arm", "kind").agg(F.count("*").alias("pairs"), F.count(F.when(known & sure, 1)).alias("vetoed"))
+    return out.withColumn("veto_rate", F.round(F.col("vetoed") / F.col("pairs"), 4))

@@ -13,12 +13,14 @@ from touchline.operators import evidence as V
 from touchline.operators import formation as M
 from touchline.operators import governance as Q
 from touchline.operators import pairs as P
+from touchline.operators import players as L
 from touchline.operators import robustness as X
+from touchline.operators import runs as R
 from touchline.operators import tracker as T
 from touchline.operators.pairs import both_ways
 from touchline.plans import stages
-from touchline.plans.match_queries import _EVENTS
-from touchline.sources import files
+from touchline.plans.match_queries import _EVENTS, chained
+from touchline.sources import files, simulate
 from touchline.sources import tracking as S
 from touchline.sources.matches import match_events
 from touchline.streaming import live
@@ -500,3 +502,59 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     boxes = S.detections(spark, sf)
     teams = T.iou_tracker(boxes).select("clip", F.col("track_id").alias("tracklet_id"), (F.col("track_id") % 2).alias("team")).distinct()
     return stages.run(boxes, S.ball(spark, sf), teams)["events"]
+
+
+@query("player_coverage", "select event_id // 400 as clip, event_id % 20 as player_id, count(*) filter (event_id % 13 <> 0) as observed_frames, any_value(t.n) as total_frames, round(count(*) filter (event_id % 13 <> 0) / any_value(t.n), 4) as observed_fraction from events join (select event_id // 400 as c, count(distinct event_id % 400 // 20) as n from events group by all) t on t.c = event_id // 400 group by 1, 2")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    e = F.col("event_id")
+    rows = S.table(spark, sf, "events").select(F.floor(e / 400).cast("long").alias("clip"), F.floor(e % 400 / 20).cast("long").alias("frame"), (e % 20).alias("player_id"), (e % 13 != 0).alias("seen"))
+    return L.coverage(rows)
+
+
+@query("class_counts", "select (event_id // 3 % 4 + 1)::int as class_id, (event_id // 12 % 3)::int as slot, count(*) as n, count(*) filter (event_id % 5 <> 0) as with_box from events where event_id % 3 = 0 group by all")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return L.class_counts(S.labelled_actions(spark, sf))
+
+
+@query("tier_one_abstentions")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return L.abstentions(chained(spark, sf))
+
+
+@query("possession_sheet")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    timeline = S.possessors(spark, sf)
+    frames = timeline.select("clip", "frame", F.col("possessor").alias("player_id"), "team", (F.col("frame") % 97 == 0).alias("out"))
+    return R.possession_sheet(live.possession_events(frames), R.possession_segments(timeline))
+
+
+@query("simulated_match")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    rows = simulate.players(spark, 500, seed=7)
+    ball = simulate.possessor(spark.range(500).select(F.col("id").alias("frame")), seed=7)
+    return rows.join(ball.withColumn("has_ball", F.lit(True)), ["frame", "player_id"], "left").select("frame", "team", "player_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.coalesce("has_ball", F.lit(False)).alias("has_ball"))
+
+
+@query("synthetic_detections")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return simulate.detections(simulate.players(spark, 500, seed=7), seed=7)
+
+
+@query("oracle_detections")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    truth = S.true_boxes(spark, sf)
+    return E.detection_report(E.match_frames(simulate.oracle(truth, 1, 0.1, 3.0), truth), truth)
+
+
+@query("reprojected_points")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    marks = [(x, y) for x in (0.0, 1650.0, 5250.0, 8850.0, 10500.0) for y in (0.0, 1384.0, 3400.0, 5416.0, 6800.0)]
+    rows = _calibration(spark, sf).where("homography is not null")
+    return rows.select("clip", "frame", F.posexplode(G.reprojected(F.col("homography"), marks, 1920.0, 1080.0)).alias("mark", "p")).select("clip", "frame", "mark", F.round("p.x", 3).alias("x"), F.round("p.y", 3).alias("y"))
+
+
+@query("team_gate_behaviour")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    rows = S.features(spark, sf)
+    team = F.when(F.col("tracklet_id") % 6 == 0, "unknown").when((F.col("team") + F.col("tracklet_id") % 9 / 8).cast("int") % 2 == 0, "home").otherwise("away")
+    return T.gate_behaviour(rows.select("clip", "tracklet_id", "start", "end", team.alias("team"), (F.col("tracklet_id") % 10 / 10).alias("confidence"), F.col("label").alias("gt_id"), F.when(F.col("team") == 0, "left").otherwise("right").alias("gt_team")))
