@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 from touchline.llm import blocks, scratch
 from touchline.llm.components import components
 
-#: Pivots grow with the root of the number of vectors, up to MOST_PIVOTS, which bounds what each task holds. They are a hashed sample of the vectors.
-LEAST_PIVOTS, MOST_PIVOTS = 64, 4096
+#: Pivots grow with the root of the number of vectors, up to MOST_PIVOTS, which bounds what each task holds. They come from a hashed sample of the vectors of
+#: OVERSAMPLE times as many; one that has a cosine of APART or more with an earlier one is passed over, else a dense group would hold many of them, and
+#: which of those are its members' nearest would be chance.
+LEAST_PIVOTS, MOST_PIVOTS, OVERSAMPLE, APART = 64, 4096, 4, 0.7
 #: Nearest pivots that describe a vector, and how many two vectors must share.
-NEAREST, SHARED = 8, 4
+NEAREST, SHARED = 10, 4
 #: Entries of a block of a list.
 BLOCK = 512
 
@@ -44,6 +46,19 @@ def _unit(batch: pa.RecordBatch, name: str, size: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _spread(x: np.ndarray, k: int) -> np.ndarray:
+    """The first k unit vectors of which none is near an earlier one."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    out = np.empty((k, x.shape[1]))
+    n = 0
+    for v in x:
+        if n < k and (not n or (out[:n] @ v).max() < APART):
+            out[n] = v
+            n += 1
+    return out[:n]
+
+
 def _entries(classes: DataFrame, pivots: dict[int, np.ndarray], nearest: int) -> DataFrame:
     """Each class once for each of its nearest pivots."""
 
@@ -115,10 +130,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, nearest: int =
     pivots = {}
     for size, n in sizes.items():
         k = min(n, n_pivots or int(min(MOST_PIVOTS, max(LEAST_PIVOTS, 2 * n**0.5))))
-        chosen = classes.where(F.col("size") == size).orderBy(F.xxhash64("rep"), "rep").select("embedding").limit(k).toPandas()
-        x = np.stack(chosen["embedding"].to_list()).astype(np.float64)
-        x = x / np.abs(x).max(axis=1, keepdims=True)
-        pivots[size] = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+        chosen = classes.where(F.col("size") == size).orderBy(F.xxhash64("rep"), "rep").select("embedding").limit(OVERSAMPLE * k).toPandas()
+        pivots[size] = _spread(np.stack(chosen["embedding"].to_list()).astype(np.float64), k)
     entries = scratch.table(_entries(classes, pivots, nearest).withColumn("size", F.size("unit")), "entries", codec="lz4")
     lists = entries.groupBy("size", "label", "pivot").count().where("count > 1")
     lists = lists.withColumn("parts", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")
