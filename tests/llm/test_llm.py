@@ -363,6 +363,72 @@ def test_near_vectors(spark):
     assert pivots.near_duplicates(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    """Each stage on awkward rows, nulls in every column and clashing names among them, against what it says it does."""
+    import corpus_pipeline
+
+    plain, labels = labelled(spark, 300)
+    rows = [(r.doc_id, r.text, "en", ("a", "b", None)[r.doc_id % 3], len(r.text or ""), r.doc_id, "x", 1.5) for r in plain.collect()]
+    long = " ".join(f"w{i}" for i in range(3000))
+    rows += [(1000 + k, long if k < 3 else long.replace("w7 ", f"z{k} "), "en", "a", 1, None, None, None) for k in range(6)]
+    rows += [(None, "null id " * 10, None, None, None, None, None, None), (2000, None, None, "b", None, 1, None, None), (2001, "", "en", "b", 0, 1, "", 0.0), rows[5]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, copy long, label string, score double")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    key = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+
+    kept = stages["quality classifier"](spark, docs, str(tmp_path)).cache()
+    want = Counter()
+    for r, p in zip(docs.collect(), quality.classify(docs.coalesce(1), labels).collect(), strict=True):
+        assert r.doc_id == p.doc_id
+        if p.predicted:
+            want[r.doc_id, r.text] += 1
+    assert kept.columns == docs.columns and key(kept) == want and 0 < sum(want.values()) < len(rows)
+
+    clean = stages["toxicity"](spark, kept, str(tmp_path)).cache()
+    marks = dict(zip(((r.doc_id, r.text) for r in kept.collect()), (r.predicted for r in toxicity.classify(kept.coalesce(1), labels).collect()), strict=True))
+    assert key(clean) == Counter({k: n for k, n in key(kept).items() if not marks[k]})
+
+    distinct = stages["n-gram Jaccard join"](spark, clean, str(tmp_path)).cache()
+    held = [(r.doc_id, r.text, {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w := words(r.text)) >= 5 else {tuple(w)} if w else set()) for r in clean.collect()]
+    parent = {i: i for i, _, _ in held if i is not None}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, (i, _, s) in enumerate(held):
+        for j, _, t in held[:a]:
+            if None not in (i, j) and s and t and 100 * len(s & t) >= 80 * len(s | t):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    alone = Counter({(i, t): 1 for i, t, _ in held if i is not None and find(i) == i}) + Counter((i, t) for i, t, _ in held if i is None)
+    assert key(distinct) == alone and sum(1000 <= i < 1006 for i, _ in alone if i is not None) <= 1
+
+    mixed = stages["mixing sources to target weights"](spark, distinct, str(tmp_path)).cache()
+    drawn, source, sizes = key(mixed), Counter(), {}
+    origin = lambda i, t: next(r[3] for r in rows if r[0] == i and r[1] == t)
+    for i, t in alone:
+        sizes.setdefault(origin(i, t), []).append(len((t or "").encode()) + 1)
+    for (i, t), n in drawn.items():
+        assert (i, t) in alone
+        source[origin(i, t)] += n * (len((t or "").encode()) + 1)
+    share = sum(map(sum, sizes.values())) / len(sizes)
+    for name, own in sizes.items():
+        rate = share / sum(own)
+        assert abs(source[name] - share) < 5 * math.sqrt(rate * sum(x * x for x in own))
+    assert mixed.columns == docs.columns and len(sizes) == 3
+
+    packed = stages["best-fit packing"](spark, mixed, str(tmp_path)).collect()
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(BPE)
+    ids = sum((len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1) * n for (_, t), n in drawn.items())
+    assert sum(r.length for r in packed) == ids
+    assert all(stage(spark, docs.limit(0), str(tmp_path)).count() == 0 for stage in stages.values())
+
+
 def test_queries_and_pipeline(spark):
     import corpus_pipeline
     from touchline.llm import queries

@@ -58,12 +58,12 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, by: str, total: int
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, by: str = "source", total: int | None = None, seed: int = 0) -> DataFrame:
-    """docs' columns and `copy` (from 1): each document as often as its source's rate drew, all in hashed order.
+    """docs' columns and `copy` (from 1; `touchline_copy` if docs have a copy of their own): each document as often as its source's rate drew, all in hashed order.
 
     docs needs doc_id, text and the column `by` (a null is a source of its own). Documents are told apart by doc_id and text: repeated rows draw
     the same count each. A null text has no bytes but the one each document has. An empty table, or no positive weight, gives no
-    rows. Output partitions are parts of one random order: each row's place depends on the seed and the row alone. Columns other than `copy`
-    and names beginning with `_mix_` may be called anything.
+    rows. Output partitions are parts of one random order: each row's place depends on the seed and the row alone. Columns may have any names
+    but ones that begin with `_mix_`.
     """
     found = rates(docs, weights, by, total).select(F.col("source").alias("_mix_source"), "parts", "cumulative")
     table = F.col("_mix_table")
@@ -75,6 +75,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, by: str = "sou
     uniforms = F.transform(F.sequence(F.lit(1), table["parts"]), lambda part: _uniform(F.col("_mix_key"), F.lit("count"), part))
     drawn = F.aggregate(uniforms, F.lit(0), lambda n, u: n + F.size(F.filter(table["cumulative"], lambda c: c <= u)))
     copies = joined.withColumn("_mix_count", drawn).where("_mix_count > 0")
-    copies = copies.select(*(F.col(f"`{c}`") for c in docs.columns), "_mix_key", F.explode(F.sequence(F.lit(1), F.col("_mix_count"))).alias("copy"))
-    copies = copies.withColumn("_mix_place", F.xxhash64("_mix_key", F.lit("place"), "copy"))
+    name = "touchline_copy" if "copy" in map(str.lower, docs.columns) else "copy"
+    copies = copies.select(*(F.col(f"`{c}`") for c in docs.columns), "_mix_key", F.explode(F.sequence(F.lit(1), F.col("_mix_count"))).alias(name))
+    copies = copies.withColumn("_mix_place", F.xxhash64("_mix_key", F.lit("place"), name))
     return copies.repartition(F.col("_mix_place")).sortWithinPartitions("_mix_place").drop("_mix_key", "_mix_place")
