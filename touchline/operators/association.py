@@ -388,7 +388,7 @@ def gap_anchors(frames: DataFrame, stride: int = 5) -> DataFrame:
     """Every stride-th frame of a blackout with the last good frame before and the first after. frames: clip, frame, good."""
     order = Window.partitionBy("clip").orderBy("frame")
     good = F.when(F.col("good"), F.col("frame"))
-    rows = frames.withColumns({"left": F.last(good, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), "right": F.first(good, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)), "block": F.sum(F.col("good").cast("int")).over(order)})
+    rows = frames.withColumns({"left": F.last(good, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), "right": F.last(good, ignorenulls=True).over(Window.partitionBy("clip").orderBy(F.col("frame").desc()).rowsBetween(Window.unboundedPreceding, -1)), "block": F.sum(F.col("good").cast("int")).over(order)})
     rows = rows.where(~F.col("good")).withColumn("i", F.row_number().over(Window.partitionBy("clip", "block").orderBy("frame")) - 1).where(F.col("i") % stride == 0)
     return rows.select("clip", "frame", F.explode(F.array_compact(F.array("left", "right"))).alias("anchor"))
 

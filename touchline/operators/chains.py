@@ -5,7 +5,7 @@ Every function partitions by match_id: halves are per match and frames per half,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from touchline.sources.matches import CONTEST_TYPES, MAX_GAP, POSSESSION_TYPES
@@ -14,6 +14,11 @@ ORDER = ("half", "frame_idx", "event_id")
 _INFERRED = ["pass", "cross", "carry", "throw_in"]
 
 
+def backwards(*keys: str) -> WindowSpec:
+    """All later events, the nearest last. A frame that grows from the end: one that shrinks towards it is read anew for every row."""
+    return Window.partitionBy(*keys).orderBy(*(F.col(c).desc() for c in ORDER)).rowsBetween(Window.unboundedPreceding, -1)
+
+
 def is_contest() -> Column:
     return F.col("type").isin(CONTEST_TYPES)
 
@@ -53,8 +58,7 @@ def with_outcomes(events: DataFrame, max_gap: float = MAX_GAP) -> DataFrame:
     complete for the same club, incomplete for the other, unknown if there is none, in another half or too late. The receiver is the next
     actor of the same club if it is another player; a carry has none.
     """
-    after = Window.partitionBy("match_id").orderBy(*ORDER).rowsBetween(1, Window.unboundedFollowing)
-    following = F.first(F.when(is_possession(), F.struct("half", "t", "club_id", "player_id")), ignorenulls=True).over(after)
+    following = F.last(F.when(is_possession(), F.struct("half", "t", "club_id", "player_id")), ignorenulls=True).over(backwards("match_id"))
     events = events.withColumn("_next", following)
     infer = (F.col("outcome_source") != "labelled") & F.col("type").isin(_INFERRED)
     live = F.coalesce((F.col("_next.half") == F.col("half")) & (F.col("_next.t") - F.col("t") <= max_gap), F.lit(False))

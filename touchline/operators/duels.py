@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import pitch as G
-from touchline.operators.chains import chain_table, is_possession, possession_changes
+from touchline.operators.chains import backwards, chain_table, is_possession, possession_changes
 from touchline.sources.matches import MAX_GAP
 
 TAKE_ON_RADIUS, AERIAL_WINDOW = 300.0, 1.0
@@ -18,7 +18,7 @@ def _around(events: DataFrame, max_gap: float) -> DataFrame:
     half = Window.partitionBy("match_id", "half").orderBy("frame_idx", "event_id")
     event = F.when(is_possession(), F.struct("t", "club_id", "player_id"))
     before = F.last(event, ignorenulls=True).over(half.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(event, ignorenulls=True).over(half.rowsBetween(1, Window.unboundedFollowing))
+    after = F.last(event, ignorenulls=True).over(backwards("match_id", "half"))
     events = events.withColumns({"_before": before, "_after": after})
     return events.withColumns(
         {

@@ -59,7 +59,7 @@ def average_precision(flags: DataFrame, totals: DataFrame, keys: list[str]) -> D
     """All-points interpolated AP per key. flags: keys, hit, and `place` in rank order; totals: keys, n_true. 0 without predictions."""
     order = Window.partitionBy(*keys).orderBy("place")
     rows = flags.withColumns({"tp": F.sum(F.col("hit").cast("int")).over(order), "n": F.row_number().over(order)}).withColumn("precision", F.col("tp") / F.col("n"))
-    best = F.max("precision").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    best = F.max("precision").over(Window.partitionBy(*keys).orderBy(F.col("place").desc()))
     hits = rows.withColumn("best", best).where("hit").groupBy(*keys).agg(F.sum("best").alias("area"))
     return totals.join(hits, keys, "left").select(*keys, "n_true", F.round(F.coalesce(F.col("area") / F.col("n_true"), F.lit(0.0)), 4).alias("ap"))
 
@@ -187,28 +187,30 @@ def greedy(candidates: DataFrame, keys: list[str], order: list[Column], left: st
 def claim(predictions: DataFrame, truth: DataFrame, keys: list[str], tolerance: float, at: str = "frame", exact: bool = False) -> DataFrame:
     """Every prediction, by falling score, claims the nearest free labelled event of its key within the tolerance (equal distance: the earlier one).
 
-    predictions: keys, event_id, score, `at`. Returns keys, event_id, score, gt_event (null: false). Predictions of equal score go by `at`, then event_id;
+    A group is one value of the first key; the others (at least one) part it. predictions: keys, event_id, score, `at`. Returns keys, event_id, score, gt_event (null: false). Predictions of equal score go by `at`, then event_id;
     with exact=False that is the order in which spotting breaks ties.
     """
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in predictions.select(*keys).schema.fields), "event_id long, score double, gt_event long"])
-
-    def match(key: tuple, p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["score", at, "event_id"] if not exact else ["score", "event_id"], ascending=[False, True, True] if not exact else [False, True])
-        g = g.sort_values([at, "event_id"])
-        times, ids = g[at].to_numpy(dtype=float), g["event_id"].to_numpy()
-        free, out = np.ones(len(g), dtype=bool), []
-        for t in p[at].to_numpy(dtype=float):
-            away = np.where(free, np.abs(times - t), np.inf)
+    inner = keys[1:]
+
+    def match(p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values([*inner, "score", "event_id"] if exact else [*inner, "score", at, "event_id"], ascending=[True] * len(inner) + ([False, True] if exact else [False, True, True]), ignore_index=True)
+        g = g.sort_values([*inner, at, "event_id"], ignore_index=True)
+        labelled = {k: (own[at].to_numpy(dtype=float), own["event_id"].to_numpy(), np.ones(len(own), dtype=bool)) for k, own in g.groupby(inner, sort=False)}
+        out, times = [], p[at].to_numpy(dtype=float)
+        for key, t in zip(p[inner].itertuples(index=False, name=None), times, strict=True):
+            at_, ids, free = labelled.get(key, (np.empty(0), None, None))
+            away = np.where(free, np.abs(at_ - t), np.inf) if len(at_) else at_
             j = int(away.argmin()) if len(away) else -1
             if j >= 0 and away[j] <= tolerance:
                 free[j] = False
                 out.append(int(ids[j]))
             else:
                 out.append(None)
-        rows = {k: [v] * len(p) for k, v in zip(keys, key, strict=True)}
-        return pd.DataFrame(rows | {"event_id": p["event_id"].to_numpy(), "score": p["score"].to_numpy(), "gt_event": pd.array(out, dtype="Int64")})
+        return p[[*keys, "event_id", "score"]].assign(gt_event=pd.array(out, dtype="Int64"))
 
-    return predictions.groupBy(*keys).cogroup(truth.groupBy(*keys)).applyInPandas(match, schema)
+    outer = keys[0]
+    return predictions.groupBy(outer).cogroup(truth.withColumnRenamed(outer, f"in_{outer}").groupBy(f"in_{outer}")).applyInPandas(match, schema)
 
 
 def action_report(predictions: DataFrame, truth: DataFrame, delta: int = 12, least_score: float = 0.15, group: str = "clip") -> DataFrame:
@@ -381,17 +383,20 @@ def hota(dets: DataFrame, truth: DataFrame, hypothesis: str = "tracklet_id") ->
             shared[np.ix_(i, j)] += np.divide(s, rest, out=np.zeros_like(s), where=rest > 0)
         alignment = shared / (n_gt[:, None] + n_hyp[None, :] - shared)
         alphas = np.arange(0.05, 0.99, 0.05)
-        tp, loc, pairs = np.zeros(len(alphas)), np.zeros(len(alphas)), [np.zeros((len(gt), len(hyp))) for _ in alphas]
+        at_gt, at_hyp, near = [], [], []
         for g, h, s in frames:
-            if not len(g) or not len(h):
-                continue
-            i, j = np.searchsorted(gt, g), np.searchsorted(hyp, h)
-            r, c = hungarian(-(alignment[np.ix_(i, j)] * s))
-            for k, alpha in enumerate(alphas):
-                ok = s[r, c] >= alpha - np.finfo(float).eps
-                tp[k] += ok.sum()
-                loc[k] += s[r, c][ok].sum()
-                np.add.at(pairs[k], (i[r[ok]], j[c[ok]]), 1)
+            if len(g) and len(h):
+                i, j = np.searchsorted(gt, g), np.searchsorted(hyp, h)
+                r, c = hungarian(-(alignment[np.ix_(i, j)] * s))
+                at_gt.append(i[r])
+                at_hyp.append(j[c])
+                near.append(s[r, c])
+        at_gt, at_hyp, near = (np.concatenate(v) if v else np.empty(0, dtype=int) for v in (at_gt, at_hyp, near))
+        tp, loc, pairs = np.zeros(len(alphas)), np.zeros(len(alphas)), []
+        for k, alpha in enumerate(alphas):
+            ok = near >= alpha - np.finfo(float).eps
+            tp[k], loc[k] = ok.sum(), near[ok].sum()
+            pairs.append(np.bincount(at_gt[ok] * len(hyp) + at_hyp[ok], minlength=len(gt) * len(hyp)).reshape(len(gt), len(hyp)).astype(float))
         total = n_gt.sum() + n_hyp.sum()
         det = tp / np.maximum(1, total - tp)
         ass = np.array([(p * (p / np.maximum(1, n_gt[:, None] + n_hyp[None, :] - p))).sum() / max(1, t) for p, t in zip(pairs, tp, strict=True)])

@@ -131,10 +131,18 @@ def fit_threat(chained: DataFrame, grid: G.Grid | None = None, failures_absorb:
     grid = grid or G.Grid()
     n = grid.nx * grid.ny
     shot, move, done, matrix = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros((n, n))
-    for r in zone_counts(chained, grid).collect():
-        shot[r.zone], move[r.zone], done[r.zone] = r.shots, r.moves, r.completed
-    for r in transitions(chained, grid).collect():
-        matrix[r.zone, r.to_zone] = r.n
+    known = F.col("type").isin(MOVE_TYPES) & (F.col("outcome") != "unknown")
+    ended = known & (F.col("outcome") == "complete") & F.col("end_x").isNotNull()
+    to = F.when(ended, grid.zone(F.col("end_x"), F.col("end_y")))
+    rows = chained.where((F.col("type") == "shot") | known)  # one pass: zone_counts() and transitions() together
+    for r in rows.groupBy((F.col("type") == "shot").alias("shot"), grid.zone(F.col("x"), F.col("y")).alias("zone"), to.alias("to_zone")).agg(F.count("*").alias("n")).collect():
+        if r.shot:
+            shot[r.zone] += r.n
+            continue
+        move[r.zone] += r.n
+        if r.to_zone is not None:
+            done[r.zone] += r.n
+            matrix[r.zone, r.to_zone] += r.n
     actions = shot + move
     overall = shot.sum() / actions.sum() if actions.sum() else 0.0
     trust = np.minimum(actions / support, 1.0)

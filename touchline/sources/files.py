@@ -106,7 +106,7 @@ def slot_shirts(rows: DataFrame) -> DataFrame:
 
     order = Window.partitionBy("clip", "slot").orderBy("frame")
     back = F.last("shirt", ignorenulls=True).over(order)
-    ahead = F.first("shirt", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    ahead = F.last("shirt", ignorenulls=True).over(Window.partitionBy("clip", "slot").orderBy(F.col("frame").desc()))
     return rows.withColumn("shirt", F.coalesce(back, ahead))
 
 
