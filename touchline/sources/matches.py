@@ -16,7 +16,7 @@ MOVE_TYPES = ["pass", "cross", "carry", "throw_in"]
 RESTART_TYPES = ["corner", "free_kick", "goal_kick", "penalty", "throw_in"]
 CREATING_TYPES = ["pass", "cross", "carry", "take_on", "foul_won", "shot", "throw_in"]
 
-#: Seconds of silence that end a chain. The reference value is 10 s; the driver's events are minutes apart.
+#: Seconds of silence that end a chain. The published value is 10 s; the driver's events are minutes apart.
 MAX_GAP = 10.0
 DRIVER_GAP = 600.0
 
