@@ -7,7 +7,8 @@ counts. So an expression that one class has seen a few times weighs nothing, a r
 and where neither class has seen a letter follow, only the classes' freed shares differ.
 
 A word's evidence is the difference of its two log-likelihoods. A document's is the strong words' evidence normalised by its length,
-beside its strongest words; a logistic curve, fitted on labelled documents that the counts did not use, makes it a score.
+beside its strongest words; a logistic curve makes it a score. The curve is fitted on all labelled documents of the sample, each
+rated by models of the other folds, and the final models count them all.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.llm import scratch
 from touchline.llm.sampling import labelled, remainder
 
 #: Letters of a gram; the discount of a class's counts and of the shared ones.
@@ -31,8 +34,8 @@ ORDER, DISCOUNT, SHARED_DISCOUNT = 6, 2.0, 0.75
 STRONG, MOST = 4.0, 8.0
 #: At most so many documents of either label are learned from, and so many grams of the models are kept.
 MOST_DOCUMENTS, MOST_GRAMS = 4000, 1_500_000
-#: One in so many of them fits the curve instead of the counts.
-CURVE = 4
+#: Folds of the sample: the documents of one are rated for the curve by models of the others.
+FOLDS = 4
 #: The score's column where documents' own columns are kept.
 SCORE = "touchline_score"
 THRESHOLD = 0.7
@@ -114,26 +117,38 @@ class Evidence:
         return sum(min(x, MOST) for x in strong if x > STRONG) / n, sum(strong[:1]), sum(strong[:3]), math.log(n)
 
 
-def _counts(texts: DataFrame) -> dict[str, tuple[int, int]]:
+def _counts(texts: DataFrame) -> list[tuple[str, tuple[int, ...]]]:
+    """Each gram's counts: for every fold in ordinary, then for every fold in toxic documents."""
+    names = [f"{kind}{f}" for kind in ("ordinary", "toxic") for f in range(FOLDS)]
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: tuple[Counter, Counter] = Counter(), Counter()
+        found = [Counter() for _ in names]
         for batch in batches:
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-                found[label].update(words(text))
+            for text, label, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "label", "fold")), strict=True):
+                found[label * FOLDS + fold].update(words(text))
         both: dict[str, list[int]] = {}
-        for k in (0, 1):
-            for word, n in found[k].items():
+        for k, counter in enumerate(found):
+            for word, n in counter.items():
                 for gram in grams(word):
-                    both.setdefault(gram, [0, 0])[k] += n
+                    both.setdefault(gram, [0] * len(names))[k] += n
         rows = list(both.items())
         for at in range(0, len(rows), 50_000):
             part = rows[at : at + 50_000]
-            yield pa.record_batch({"gram": pa.array([g for g, _ in part]), "ordinary": pa.array([x[0] for _, x in part], pa.int64()), "toxic": pa.array([x[1] for _, x in part], pa.int64())})
+            yield pa.record_batch({"gram": pa.array([g for g, _ in part])} | {name: pa.array([x[k] for _, x in part], pa.int64()) for k, name in enumerate(names)})
+
+    rows = texts.mapInArrow(count, "gram string, " + ", ".join(f"{x} long" for x in names)).groupBy("gram").agg(*(F.sum(x).alias(x) for x in names))
+    rows = rows.orderBy(F.desc(sum((F.col(x) for x in names), F.lit(0))), "gram").limit(MOST_GRAMS).toPandas()
+    return list(zip(rows["gram"], rows[names].itertuples(index=False, name=None), strict=True))
 
-    rows = texts.mapInArrow(count, "gram string, ordinary long, toxic long").groupBy("gram").agg(F.sum("ordinary").alias("o"), F.sum("toxic").alias("t"))
-    rows = rows.orderBy(F.desc(F.col("o") + F.col("t")), "gram").limit(MOST_GRAMS)
-    found = rows.toPandas()
-    return dict(zip(found["gram"], zip(found["o"].tolist(), found["t"].tolist(), strict=True), strict=True))
+
+def _without(counts: list[tuple[str, tuple[int, ...]]], fold: int | None) -> dict[str, tuple[int, int]]:
+    """Ordinary and toxic counts over all folds but one; grams that only that one has are left out."""
+    out = {}
+    for gram, n in counts:
+        pair = tuple(sum(n[k * FOLDS : (k + 1) * FOLDS]) - (n[k * FOLDS + fold] if fold is not None else 0) for k in (0, 1))
+        if pair != (0, 0):
+            out[gram] = pair
+    return out
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -154,19 +169,26 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
 def fit(docs: DataFrame, labels: DataFrame, folds: int, held: int) -> tuple[tuple[dict, dict], np.ndarray, np.ndarray]:
     """The models' ratios, the scale of the evidence and the curve."""
     sample = labelled(docs, labels, "toxic", remainder("doc_id", folds) == held, MOST_DOCUMENTS, "toxicity")
-    for_curve = F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(CURVE)) == 0
-    model = learn(_counts(sample.where(~for_curve)))
-    share = docs.sparkSession.sparkContext.broadcast(model)
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        evidence = Evidence(share.value)
-        for batch in batches:
-            each = [evidence.text(x) for x in batch.column("text").to_pylist()]
-            columns = zip(*each, strict=True) if each else ((),) * FEATURES
-            yield pa.record_batch({f"x{i}": pa.array(x, pa.float64()) for i, x in enumerate(columns)} | {"label": batch.column("label")})
-
-    rows = sample.where(for_curve).mapInArrow(weigh, ", ".join([*(f"x{i} double" for i in range(FEATURES)), "label int"])).toPandas()
-    x, y = rows[[f"x{i}" for i in range(FEATURES)]].to_numpy(), rows["label"].to_numpy(dtype=float)
+    sample = scratch.table(sample.withColumn("fold", F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(FOLDS)).cast("int")), "toxicity-sample")
+    counts = _counts(sample)
+    parts = []
+    for fold in range(FOLDS):
+        share = docs.sparkSession.sparkContext.broadcast(learn(_without(counts, fold)))
+
+        def weigh(batches: Iterator[pa.RecordBatch], share=share) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            evidence = Evidence(share.value)
+            for batch in batches:
+                each = [evidence.text(x) for x in batch.column("text").to_pylist()]
+                columns = zip(*each, strict=True) if each else ((),) * FEATURES
+                yield pa.record_batch({f"x{i}": pa.array(x, pa.float64()) for i, x in enumerate(columns)} | {"label": batch.column("label")})
+
+        schema = ", ".join([*(f"x{i} double" for i in range(FEATURES)), "label int"])
+        parts.append(sample.where(F.col("fold") == fold).select("text", "label").mapInArrow(weigh, schema).toPandas())
+        share.destroy()
+    model = learn(_without(counts, None))
+    scratch.drop(sample)
+    rows = pd.concat(parts).sort_values([f"x{i}" for i in range(FEATURES)])
+    x, y = rows[[f"x{i}" for i in range(FEATURES)]].to_numpy(dtype=float).reshape(-1, FEATURES), rows["label"].to_numpy(dtype=float)
     scale = np.maximum(x.std(axis=0), 1e-6) if len(x) else np.ones(FEATURES)
     if len(set(y)) < 2:
         return model, scale, np.array([1.0] + [0.0] * (FEATURES - 1) + [-1.0])
