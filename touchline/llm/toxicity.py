@@ -86,6 +86,8 @@ def learn(counts: dict[str, tuple[int, int]]) -> tuple[dict[str, float], dict[st
         low = max(both - SHARED_DISCOUNT, 0) / x[2] + x[5] / x[2] * shared(gram[1:-1], gram[-1])
         p = [max(pair[k] - DISCOUNT, 0) / x[k] + x[k + 3] / x[k] * low if x[k] else low for k in (0, 1)]
         by_gram[gram] = math.log(p[1] / p[0])
+    shared.cache_clear()  # shared() refers to itself: else all this stays until a garbage collection
+    before.clear()
     return by_gram, by_context
 
 
