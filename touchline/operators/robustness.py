@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import pitch as G
+from touchline.operators import chains, duels, models, players
+from touchline.sources.matches import MAX_GAP
+
+RATES, MODELS, TRIALS = (0.05, 0.1, 0.2, 0.4), ("uniform", "crowd-biased"), 20
 
 
 def crowding(events: DataFrame, radius: float = G.CROWD_RADIUS) -> DataFrame:
@@ -14,31 +22,94 @@ def crowding(events: DataFrame, radius: float = G.CROWD_RADIUS) -> DataFrame:
     return events.withColumn("crowd", G.within(x, y, F.col("opponents"), radius) + G.within(x, y, F.col("teammates"), radius))
 
 
-def scenarios(events: DataFrame, rates: tuple[float, ...] = (0.05, 0.1, 0.2, 0.4), models: tuple[str, ...] = ("uniform", "crowd-biased"), trials: int = 20, seed: int = 0, strength: float = 2.0, rounds: int = 20) -> DataFrame:
+def scenarios(events: DataFrame, rates: tuple[float, ...] = RATES, models: tuple[str, ...] = MODELS, trials: int = TRIALS, seed: int = 0, strength: float = 2.0, rounds: int = 20) -> DataFrame:
     """The events that survive each scenario: columns model, rate, trial beside their own.
 
     An event goes missing where a hashed number falls below its probability: the rate itself, or the rate weighted by crowding within the match
-    and clipped to 1, what is lost by clipping dealt to the others, round by round.
+    and clipped to 1, what is lost by clipping dealt to the others, round by round. Equally crowded events of a match share a probability.
     """
-    rows = crowding(events).withColumn("_mean", F.avg("crowd").over(Window.partitionBy("match_id")))
-    rows = rows.withColumn("_weight", F.greatest(F.lit(0.05), 1 + strength * (F.col("crowd") - F.col("_mean")) / (F.col("_mean") + 1)))
-    each = F.array(*(F.struct(F.lit(m).alias("model"), F.lit(r).alias("rate")) for m in models for r in rates))
-    rows = rows.select("*", F.inline(each))
-    rows = rows.withColumn("_weight", F.when(F.col("model") == "uniform", 1.0).otherwise(F.col("_weight")))
-    group = Window.partitionBy("match_id", "model", "rate")
-    rows = rows.withColumn("_p", F.col("rate") * F.col("_weight") / F.avg("_weight").over(group))
-    most = max(rates) * (1 + strength * 3) / 0.05
-    for _ in range(rounds if most > 1 and max(rates) >= 0.3 else 1):
-        clipped = F.least(F.lit(1.0), F.col("_p"))
-        rows = rows.withColumns({"_c": clipped})
-        rows = rows.withColumns({"_lost": F.col("rate") * F.count("*").over(group) - F.sum("_c").over(group), "_open": F.sum(F.when(F.col("_c") < 1, F.col("_c"))).over(group)})
-        scale = F.when((F.col("_lost") > 1e-9) & (F.col("_open") > 0), 1 + F.col("_lost") / F.col("_open")).otherwise(1.0)
-        rows = rows.withColumn("_p", F.when(F.col("_c") < 1, F.col("_c") * scale).otherwise(1.0)).drop("_c", "_lost", "_open")
-        if max(rates) < 0.3:
-            break
+    rows = crowding(events)
+    cells = rows.groupBy("match_id", "crowd").agg(F.count("*").alias("n"))
+
+    def deal(cells: pd.DataFrame) -> pd.DataFrame:
+        n, crowd, out = cells["n"].to_numpy(dtype=float), cells["crowd"].to_numpy(dtype=float), []
+        mean = (n * crowd).sum() / n.sum()
+        for model in models:
+            weight = (1 + strength * (crowd - mean) / (mean + 1)).clip(0.05) if model == "crowd-biased" else crowd * 0 + 1
+            for rate in rates:
+                p = rate * weight / ((n * weight).sum() / n.sum())
+                for _ in range(rounds):
+                    p = p.clip(None, 1.0)
+                    lost, left = rate * n.sum() - (n * p).sum(), (n * p)[p < 1].sum()
+                    if lost <= 1e-9 or left <= 0:
+                        break
+                    p[p < 1] *= 1 + lost / left
+                out.append(cells[["match_id", "crowd"]].assign(model=model, rate=rate, _p=p.clip(None, 1.0)))
+        return pd.concat(out)
+
+    kind = events.schema["match_id"].dataType.simpleString()
+    dealt = cells.groupBy("match_id").applyInPandas(deal, f"match_id {kind}, crowd int, model string, rate double, _p double")
+    dealt = dealt.withColumnsRenamed({"match_id": "_match", "crowd": "_crowd"})
+    rows = rows.join(dealt, F.col("match_id").eqNullSafe(F.col("_match")) & (F.col("crowd") == F.col("_crowd")))
     rows = rows.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "model", "rate", "trial", "match_id", "event_id"), 11) * F.lit(2.0**-53)
-    return rows.where(u >= F.col("_p")).drop("_mean", "_weight", "_p", "crowd")
+    return rows.where(u >= F.col("_p")).select(*events.columns, "model", "rate", "trial")
+
+
+def statistics(events: DataFrame, keys: tuple[str, ...] = (), max_gap: float = MAX_GAP, pitch: G.Pitch = G.FIFA) -> DataFrame:
+    """Counts, totals and ratios of the tier-one sheet over all matches, for each value of the keys: columns stat and value beside the keys.
+
+    Chains and outcomes are built anew within each; ends are what the events say. A ratio without a denominator is 0.
+    """
+    live = events.where(~F.col("replay"))
+    opponents = F.when(F.col("type") == "shot", F.col("opponents"))  # xG alone reads them
+    read = ["half", "event_id", "frame_idx", "t", "type", "player_id", "club_id", "x", "y", "end_x", "end_y", "outcome", "outcome_source", "replay", *(c for c in ("is_header",) if c in events.columns)]
+    rows = live.select(F.struct(*keys, "match_id").alias("match_id"), *read, opponents.alias("opponents"))
+    chained = chains.with_chains(rows, max_gap).persist(StorageLevel.DISK_ONLY)
+    each = [F.col(f"match_id.{k}").alias(k) for k in keys]
+    total = lambda rows, **sums: rows.groupBy(*each).agg(*(F.sum(v).cast("double").alias(k) for k, v in sums.items()))
+    moves = F.col("progressive_passes") + F.col("progressive_carries")
+    entries = F.col("final_third_entries_pass") + F.col("final_third_entries_carry")
+    parts = [
+        total(chained, n_events=F.lit(1)),
+        total(players.passing(chained, pitch), count_passes_attempted=F.col("passes_attempted"), completed=F.col("passes_completed")),
+        total(players.progression(chained, pitch), count_progressive_actions=moves, count_touches_in_opp_box=F.col("touches_in_opp_box"), count_final_third_entries=entries),
+        total(players.key_passes(chained), count_key_passes=F.lit(1)),
+        total(players.shot_creating_actions(chained), count_sca=F.lit(1)),
+        total(duels.balls_by_player(chained, pitch, max_gap), count_recoveries=F.col("recoveries")),
+        total(models.shots(chained, pitch).where("player_id is not null"), count_shots=F.lit(1), total_xg=F.col("xg")),
+    ]
+    wide = parts[0]
+    for part in parts[1:]:
+        wide = wide.unionByName(part, allowMissingColumns=True)
+    names = [c for c in wide.columns if c not in keys]
+    wide = wide.groupBy(*keys).agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in names))
+    share = lambda x, y: F.when(F.col(y) > 0, F.col(x) / F.col(y)).otherwise(0.0)
+    ratios = {
+        "ratio_pass_completion": share("completed", "count_passes_attempted"),
+        "ratio_progressive_share": share("count_progressive_actions", "count_passes_attempted"),
+        "ratio_field_tilt_box_share": share("count_touches_in_opp_box", "n_events"),
+    }
+    found = {c: F.col(c) for c in names if c not in ("n_events", "completed")} | ratios
+    long = wide.select(*keys, F.inline(F.array(*(F.struct(F.lit(k).alias("stat"), v.alias("value")) for k, v in found.items()))))
+    try:
+        return events.sparkSession.createDataFrame(long.collect(), long.schema)  # a dozen rows a scenario
+    finally:
+        chained.unpersist()
+
+
+def sweep(events: DataFrame, compute: Callable[..., DataFrame], rates: tuple[float, ...] = RATES, models: tuple[str, ...] = MODELS, trials: int = TRIALS, seed: int = 0, signed: tuple[str, ...] = ()) -> DataFrame:
+    """movements() of what compute(events, keys) finds among the events without replays; it is called for all of them and once for all scenarios.
+
+    A scenario without events counts 0 everywhere.
+    """
+    live = events.where(~F.col("replay"))
+    keys = ("model", "rate", "trial")
+    baseline = compute(live, ())
+    grid = [(m, float(r), t) for m in models for r in rates for t in range(1, trials + 1)]
+    every = events.sparkSession.createDataFrame(grid, "model string, rate double, trial int").crossJoin(F.broadcast(baseline.select("stat")))
+    stats = every.join(compute(scenarios(live, rates, models, trials, seed), keys), [*keys, "stat"], "left")
+    return movements(baseline, stats, signed)
 
 
 def movements(baseline: DataFrame, stats: DataFrame, signed: tuple[str, ...] = ()) -> DataFrame:

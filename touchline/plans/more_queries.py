@@ -19,7 +19,7 @@ from touchline.operators import runs as R
 from touchline.operators import tracker as T
 from touchline.operators.pairs import both_ways
 from touchline.plans import stages
-from touchline.plans.match_queries import _EVENTS, chained
+from touchline.plans.match_queries import _EVENTS, GAP, chained
 from touchline.sources import files, simulate
 from touchline.sources import tracking as S
 from touchline.sources.matches import match_events
@@ -290,10 +290,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _movements(spark: SparkSession, sf: str) -> DataFrame:
-    events = match_events(spark, sf)
-    count = lambda rows, *keys: rows.groupBy(*keys, F.concat(F.lit("n_"), F.col("type")).alias("stat")).agg(F.count("*").cast("double").alias("value"))
-    kept = X.scenarios(events, rates=(0.05, 0.2), trials=5)
-    return X.movements(count(events), count(kept, "model", "rate", "trial"))
+    return X.sweep(match_events(spark, sf), lambda events, keys: X.statistics(events, keys, GAP))
 
 
 @query("sensitivity_sweep")
