@@ -54,15 +54,15 @@ def ball(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """clip, event_id, class_id, slot, frame, has_box of labelled actions."""
-    rows = _events(spark, sf_dir).where("e % 3 = 0")
+    """clip, event_id, class_id, slot, frame, has_box: every event as a labelled action."""
+    rows = _events(spark, sf_dir)
     e = F.col("e")
     return rows.select("clip", e.alias("event_id"), (F.floor(e / 3) % 4 + 1).cast("int").alias("class_id"), (F.floor(e / 12) % 3).cast("int").alias("slot"), (F.col("at") * 3).alias("frame"), (e % 5 != 0).alias("has_box"))
 
 
 def spotted_actions(spark: SparkSession, sf_dir: str, model: int = 0) -> DataFrame:
-    """clip, event_id, class_id, slot, frame, score of one model's actions, near the labelled ones and elsewhere."""
-    rows = _events(spark, sf_dir).where(F.col("e") % 3 == F.lit(0)).where((F.col("e") + model) % 5 != 0)
+    """clip, event_id, class_id, slot, frame, score of one model's actions: shaken labelled ones, some of another class; a fifth is missed."""
+    rows = _events(spark, sf_dir).where((F.col("e") + model) % 5 != 0)
     e = F.col("e")
     class_id = F.when((e + model) % 13 == 0, F.floor(e / 3) % 4 + 2).otherwise(F.floor(e / 3) % 4 + 1)
     frame = F.greatest(F.lit(0), F.col("at") * 3 + (e * (7 + model)) % 33 - 16)
