@@ -38,6 +38,17 @@ def unpack(data: bytes, dtype: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(width, -1).T).view(dtype).ravel()
 
 
+def pack_counts(x: np.ndarray) -> bytes:
+    """Counts as byte planes of four bytes, or of eight where one does not fit, after a byte that says which."""
+    width = 4 if x.max(initial=0) < 2**32 else 8
+    return bytes([width]) + pack(x.astype(f"u{width}"))
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    """The inverse of pack_counts()."""
+    return unpack(memoryview(data)[1:], np.dtype(f"u{data[0]}"))
+
+
 def pack_sorted(keys: np.ndarray) -> bytes:
     """Sorted unsigned 64-bit keys: first key and differences."""
     return pack(np.diff(keys, prepend=np.uint64(0)))
@@ -79,7 +90,7 @@ def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 def totals(blocked: DataFrame, keys_of: KeysOf, parts: int) -> DataFrame:
-    """For each block, key space and part: the totals over all blocks of its keys there, as packed uint32.
+    """For each block, key space and part: the totals over all blocks of its keys there, packed by pack_counts().
 
     A row with block -1 for each space and part has three int64 instead: the sum of all counts, the distinct keys with a
     count and the largest total.
@@ -95,29 +106,30 @@ def totals(blocked: DataFrame, keys_of: KeysOf, parts: int) -> DataFrame:
                 rows["part"].append(int(part))
                 rows["block"].append(key[0].as_py())
                 rows["keys"].append(pack_sorted(keys[a:b]))
-                rows["counts"].append(pack(counts[a:b].astype(np.uint32)))
+                rows["counts"].append(pack_counts(counts[a:b]))
         return pa.table(rows, schema=_arrow(_SENT))
 
     def add(key: tuple, sent: pa.Table) -> pa.Table:
         space, part = (x.as_py() for x in key)
         keys = [unpack_sorted(x.as_py()) for x in sent.column("keys")]
         ends = np.cumsum([0] + [len(x) for x in keys])
-        counts = np.concatenate([unpack(x.as_py(), np.uint32) for x in sent.column("counts")])
+        counts = np.concatenate([unpack_counts(x.as_py()) for x in sent.column("counts")])
         flat = np.concatenate(keys)
         del keys
         order = np.argsort(flat, kind="stable")
         flat = flat[order]
         first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
         sums = np.add.reduceat(counts[order].astype(np.int64), first)
-        back = np.empty(len(flat), dtype=np.uint32)
-        back[order] = np.repeat(np.minimum(sums, 2**32 - 1).astype(np.uint32), np.diff(np.append(first, len(flat))))
+        kind = np.uint32 if sums.max() < 2**32 else np.uint64
+        back = np.empty(len(flat), dtype=kind)
+        back[order] = np.repeat(sums.astype(kind), np.diff(np.append(first, len(flat))))
         blocks = [x.as_py() for x in sent.column("block")]
         stats = np.array([sums.sum(), (sums > 0).sum(), sums.max()], dtype=np.int64)
         rows = {
             "block": [*blocks, -1],
             "space": [space] * (len(blocks) + 1),
             "part": [part] * (len(blocks) + 1),
-            "totals": [*(pack(back[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)), stats.tobytes()],
+            "totals": [*(pack_counts(back[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)), stats.tobytes()],
         }
         return pa.table(rows, schema=_arrow(_TOTALS))
 
@@ -152,7 +164,7 @@ def with_totals(blocked: DataFrame, found: DataFrame, use: Callable[[pa.Table, l
         if not len(block):
             return pa.table({x.name: [] for x in _arrow(schema)}, schema=_arrow(schema))
         by = sorted(zip(rows.column("space").to_pylist(), rows.column("part").to_pylist(), rows.column("totals").to_pylist(), strict=True), key=lambda x: x[:2])
-        each = [[unpack(t, np.uint32) for s, _, t in by if s == space] for space in range(spaces)]
+        each = [[unpack_counts(t) for s, _, t in by if s == space] for space in range(spaces)]
         return use(block, [np.concatenate(x) if x else np.empty(0, dtype=np.uint32) for x in each])
 
     kept = found.where("block >= 0").select("block", "space", "part", "totals")

@@ -127,7 +127,6 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
         base = np.add.reduceat(np.log10((c_w + ALPHA) / (total + ALPHA * (distinct + 1))), bounds[:-1])
         cells = _deleted(tokens, pairs, c_w, c_hw, bounds, train, total, distinct) if train.any() else (np.empty(0, np.int64), np.empty(0, np.int64))
         rows = len(n)
-        a, b = c_w.astype(np.uint32), c_hw.astype(np.uint32)
         out = {
             "kind": [0] * rows + [1],
             "doc_id": [*block.column("doc_id").to_pylist(), None],
@@ -135,8 +134,8 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
             "n_tokens": [*n.tolist(), None],
             "n_known": [*np.add.reduceat(c_w > 0, bounds[:-1], dtype=np.int64).tolist(), None],
             "base_score": [*base.tolist(), None],
-            "words": [*(blocks.pack(a[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)), blocks.pack(cells[0])],
-            "pairs": [*(blocks.pack(b[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)), blocks.pack(cells[1])],
+            "words": [*(blocks.pack_counts(c_w[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)), blocks.pack(cells[0])],
+            "pairs": [*(blocks.pack_counts(c_hw[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)), blocks.pack(cells[1])],
         }
         return pa.table(out, schema=blocks.arrow_schema(_DOC))
 
@@ -150,7 +149,7 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
         for batch in batches:
             scores = []
             for words, pairs in zip(batch.column("words"), batch.column("pairs"), strict=True):
-                c_w, c_hw = (blocks.unpack(x.as_py(), np.uint32).astype(np.float64) for x in (words, pairs))
+                c_w, c_hw = (blocks.unpack_counts(x.as_py()).astype(np.float64) for x in (words, pairs))
                 c_h = np.concatenate(([starts], c_w[:-1]))
                 w = weights[np.minimum(_bucket(c_h), _BUCKETS - 1)]
                 p = w[:, 0] * c_hw / np.maximum(c_h, 1) + w[:, 1] * c_w / max(total, 1) + w[:, 2] / (distinct + 1)
