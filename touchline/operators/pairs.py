@@ -27,19 +27,34 @@ def overlap_reason(tolerance: int = 2) -> Column:
 
 
 def team_reason(least_confidence: float = 0.0) -> Column:
-    """Only two known, trusted and different teams forbid a pair; a missing confidence is trusted."""
-    return F.when(F.col("a_team") != F.col("b_team"), "team_mismatch")
+    """Only two known, trusted and different teams forbid a pair; a missing confidence is trusted. a_confidence and b_confidence are read if least_confidence is above 0."""
+    differ = F.col("a_team") != F.col("b_team")
+    if least_confidence > 0:
+        for side in ("a", "b"):
+            differ &= F.coalesce(F.col(f"{side}_confidence") >= least_confidence, F.lit(True))
+    return F.when(differ, "team_mismatch")
 
 
 def anchor_reason() -> Column:
     return F.when(F.col("a_anchor") != F.col("b_anchor"), "anchor_conflict")
 
 
-def motion_reason(fps: float = 25.0, limit: float = 800.0, soft_gap_s: float = 15.0) -> Column:
-    """Too fast from where one ended (end_x, end_y) to where the other begins (start_x, start_y), for gaps up to soft_gap_s."""
+def motion_reason(fps: float = 25.0, limit: float = 800.0, soft_gap_s: float = 15.0, metric_limit: float = 900.0, calibration: tuple[Column, Column] | None = None, camera: Column | None = None) -> Column:
+    """Too fast from where one ended (end_x, end_y) to where the other begins (start_x, start_y), for gaps up to soft_gap_s.
+
+    calibration: the homographies onto the pitch at the one's end and the other's start; where both are known, metric_limit (cm/s) alone
+    counts, there. Else limit (pixels/s) counts, from where camera, the homography from the one's last frame to the other's first, puts the end if it is known.
+    """
     gap = (F.col("b_start") - F.col("a_end")) / fps
-    speed = G.distance(F.col("a_end_x"), F.col("a_end_y"), F.col("b_start_x"), F.col("b_start_y")) / gap
-    return F.when((gap > 0) & (gap <= soft_gap_s) & (speed > limit), "motion_infeasible")
+    end, start = (F.col("a_end_x"), F.col("a_end_y")), (F.col("b_start_x"), F.col("b_start_y"))
+    seen = end
+    if camera is not None:
+        seen = tuple(F.when(camera.isNotNull(), moved).otherwise(still) for moved, still in zip(G.project(camera, *end), end, strict=True))
+    far = G.distance(*seen, *start) > limit * gap
+    if calibration is not None:
+        metric = G.distance(*G.project(calibration[0], *end), *G.project(calibration[1], *start)) > metric_limit * gap
+        far = F.when(calibration[0].isNotNull() & calibration[1].isNotNull(), metric).otherwise(far)
+    return F.when((gap > 0) & (gap <= soft_gap_s) & far, "motion_infeasible")
 
 
 def gated(rows: DataFrame, reasons: list[Column]) -> DataFrame:

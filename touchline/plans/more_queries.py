@@ -408,6 +408,17 @@ def _evidence(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("four_gates")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.col("tracklet_id")
+    place = {"start_x": F.col("entry_x") * 10500, "start_y": F.col("entry_y") * 6800, "end_x": F.col("exit_x") * 10500, "end_y": F.col("exit_y") * 6800}
+    unit = F.array(*(F.array(*(F.lit(float(i == j)) for j in range(3))) for i in range(3)))
+    rows = _evidence(spark, sf).drop("embedding").withColumns(place | {"confidence": F.when(t % 7 != 0, t * 19 % 100 / 100), "homography": F.when(t % 4 != 0, unit)})
+    motion = P.motion_reason(calibration=(F.col("a_homography"), F.col("b_homography")))
+    gates = [P.overlap_reason(), P.team_reason(0.5), P.anchor_reason(), motion]
+    return P.gated(P.pairs(rows), gates).select("clip", "a_tracklet_id", "b_tracklet_id", "reason")
+
+
 @query("two_pass_threads")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return A.two_pass_threads(_evidence(spark, sf), body=(8.0, -1.0))
