@@ -313,7 +313,7 @@ def zero_wrong(counts: DataFrame) -> DataFrame:
     return best.select(F.coalesce("x.correct", F.lit(0)).alias("correct"), (-F.col("x.t")).alias("threshold"))
 
 
-def bootstrap_delta(rows: DataFrame, draws: int = 200, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+def bootstrap_delta(rows: DataFrame, draws: int = 1000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """Difference of two methods' accuracies with an interval from clusters drawn anew. rows: cluster, hit_a, hit_b (one a query).
 
     A cluster comes into a draw as often as a hashed Poisson number of mean 1 says, so draws need no list of clusters.

@@ -201,7 +201,7 @@ def formation_changes(slots: DataFrame, every: int = 25) -> DataFrame:
     return slots.groupBy("clip", "team").applyInPandas(detect, "clip long, team long, frame long")
 
 
-def attack_direction(means: DataFrame, permutations: int = 200, seed: int = 0, least: int = 8) -> DataFrame:
+def attack_direction(means: DataFrame, permutations: int = 400, seed: int = 0, least: int = 8) -> DataFrame:
     """The frame at which the sides of two teams change for good, per clip, with a permutation z. means: clip, frame, gap (mean x of team 0 less team 1's).
 
     Shuffles are seeded; z is null where the shuffled splits do not vary.

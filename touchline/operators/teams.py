@@ -152,7 +152,7 @@ def _crosses(events: DataFrame, pitch: G.Pitch) -> DataFrame:
     return rows.withColumns({"flag_distance": G.corner_flag_distance(F.col("x"), F.col("y"), pitch), "line_distance": G.touchline_distance(F.col("y"), pitch)})
 
 
-def corner_null_test(events: DataFrame, pitch: G.Pitch = G.FIFA, radius: float = 300.0, min_gap: float = MAX_GAP, permutations: int = 200, seed: int = 0) -> DataFrame:
+def corner_null_test(events: DataFrame, pitch: G.Pitch = G.FIFA, radius: float = 300.0, min_gap: float = MAX_GAP, permutations: int = 2000, seed: int = 0) -> DataFrame:
     """Is nearness to the flag tied to pauses? Distances are dealt anew within each half, by hashed order; p = (1 + shuffles at least as many) / (1 + shuffles).
 
     baseline_p is the same for the distance to the touchline.
