@@ -33,7 +33,7 @@ ORDER, DISCOUNT, SHARED_DISCOUNT = 6, 2.0, 0.75
 #: Words with more evidence than STRONG count, each up to MOST.
 STRONG, MOST = 4.0, 8.0
 #: At most so many documents of either label are learned from, and so many grams of the models are kept.
-MOST_DOCUMENTS, MOST_GRAMS = 4000, 1_500_000
+MOST_DOCUMENTS = 4000
 #: Folds of the sample: the documents of one are rated for the curve by models of the others.
 FOLDS = 4
 #: The score's column where documents' own columns are kept.
@@ -139,7 +139,7 @@ def _counts(texts: DataFrame) -> list[tuple[str, tuple[int, ...]]]:
             yield pa.record_batch({"gram": pa.array([g for g, _ in part])} | {name: pa.array([x[k] for _, x in part], pa.int64()) for k, name in enumerate(names)})
 
     rows = texts.mapInArrow(count, "gram string, " + ", ".join(f"{x} long" for x in names)).groupBy("gram").agg(*(F.sum(x).alias(x) for x in names))
-    rows = rows.orderBy(F.desc(sum((F.col(x) for x in names), F.lit(0))), "gram").limit(MOST_GRAMS).toPandas()
+    rows = rows.orderBy(F.desc(sum((F.col(x) for x in names), F.lit(0))), "gram").toPandas()
     return list(zip(rows["gram"], rows[names].itertuples(index=False, name=None), strict=True))
 
 
