@@ -6,41 +6,48 @@ goes to an estimate that both classes share: the Kneser-Ney model of either's do
 counts. So an expression that one class has seen a few times weighs nothing, a rare form of a known stem weighs as its stem does,
 and where neither class has seen a letter follow, only the classes' freed shares differ.
 
-A word's evidence is the difference of its two log-likelihoods. A document's is the strong words' evidence normalised by its length,
-beside its strongest words; a logistic curve makes it a score. The curve is fitted on all labelled documents of the sample, each
-rated by models of the other folds, and the final models count them all.
+The models are learned by grouped aggregates on the cluster. The shared estimate never sees a label, so it is learned once; the
+class counts are kept by fold, and a fold's documents are rated without their own counts.
+
+What is compared is the difference of the toxic and the ordinary log-likelihood, normalised by length: of the whole text (over its
+words), of its strongest word and of its three strongest words. A logistic curve of these and the length makes it a score. The
+whole text alone would not do: three words among three hundred change it less than its topic does.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.llm import scratch
 from touchline.llm.sampling import labelled, remainder
+from touchline.llm.words import mix
 
 #: Letters of a gram; the discount of a class's counts and of the shared ones.
 ORDER, DISCOUNT, SHARED_DISCOUNT = 6, 2.0, 0.75
-#: Words with more evidence than STRONG count, each up to MOST.
-STRONG, MOST = 4.0, 8.0
-#: At most so many documents of either label are learned from, and so many grams of the models are kept.
-MOST_DOCUMENTS = 4000
-#: Folds of the sample: the documents of one are rated for the curve by models of the others.
+#: At most so many documents of either label are learned from, and of these, in hashed order, so many bytes: this bounds the models.
+MOST_DOCUMENTS, MOST_BYTES = 4000, 32 << 20
+#: Folds of the sample: the documents of one are rated for the curve without their own counts.
 FOLDS = 4
+#: Parts that the sample is learned from in.
+PARTS = 24
 #: The score's column where documents' own columns are kept.
 SCORE = "touchline_score"
 THRESHOLD = 0.7
+#: Words that a task remembers, and letters of a text that are cut into words at a time.
+KEPT, CHUNK = 200_000, 1 << 20
+FEATURES = 4
 _WORD = re.compile(r"[^\W\d_]+")
-KEPT, FEATURES = 200_000, 4
+_GAP = re.compile(r"[\W\d_]")
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def grams(word: str) -> list[str]:
@@ -49,108 +56,224 @@ def grams(word: str) -> list[str]:
     return [word[max(0, i - ORDER + 1) : i + 1] for i in range(1, len(word))]
 
 
-def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
-
-
-def learn(counts: dict[str, tuple[int, int]]) -> tuple[dict[str, float], dict[str, float]]:
-    """From each gram's count in ordinary and in toxic documents: the log-likelihood ratio of its last letter.
-
-    By gram, and by context for a letter that neither class has seen there.
-    """
-    before: dict[str, dict[str, set[str]]] = {}  # for each shorter context and letter, the letters seen before both
-    for gram in counts:
-        for k in range(1, len(gram)):
-            before.setdefault(gram[k:-1], {}).setdefault(gram[-1], set()).add(gram[k - 1])
-    letters = len({gram[-1] for gram in counts}) + 1
-
-    @cache
-    def shared(context: str, letter: str) -> float:
-        rest = shared(context[1:], letter) if context else 1 / letters
-        each = before.get(context)
-        if each is None:
-            return rest
-        total = sum(map(len, each.values()))
-        return max(len(each.get(letter, ())) - SHARED_DISCOUNT, 0) / total + SHARED_DISCOUNT * len(each) / total * rest
-
-    contexts: dict[str, list[float]] = {}
-    for gram, (ordinary, toxic) in counts.items():
-        own = contexts.setdefault(gram[:-1], [0.0] * 6)
-        for k, n, discount in ((0, ordinary, DISCOUNT), (1, toxic, DISCOUNT), (2, ordinary + toxic, SHARED_DISCOUNT)):
-            own[k] += n
-            own[k + 3] += min(n, discount)
-    by_context = {h: math.log((x[4] / x[1] if x[1] else 1) / (x[3] / x[0] if x[0] else 1)) for h, x in contexts.items()}
-    by_gram = {}
-    for gram, pair in counts.items():
-        x, both = contexts[gram[:-1]], sum(pair)
-        low = max(both - SHARED_DISCOUNT, 0) / x[2] + x[5] / x[2] * shared(gram[1:-1], gram[-1])
-        p = [max(pair[k] - DISCOUNT, 0) / x[k] + x[k + 3] / x[k] * low if x[k] else low for k in (0, 1)]
-        by_gram[gram] = math.log(p[1] / p[0])
-    shared.cache_clear()  # shared() refers to itself: else all this stays until a garbage collection
-    before.clear()
-    return by_gram, by_context
+def words(text: str) -> Iterator[list[str]]:
+    """The words of a text in lower case, CHUNK letters at a time."""
+    at = 0
+    while at < len(text):
+        end = _GAP.search(text, at + CHUNK) if at + CHUNK < len(text) else None
+        to = end.start() if end else len(text)
+        yield _WORD.findall(text[at:to].lower())
+        at = to
+
+
+def _keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each string its first letter's place among all letters, and the end; the letters; the letters' random values."""
+    ends = np.cumsum([0, *map(len, texts)])
+    letters = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return ends, letters, mix((letters.astype(np.uint64) + np.uint64(1)) * _BASE)
+
+
+def key_of(texts: list[str]) -> np.ndarray:
+    """64-bit keys of grams, polynomials of their letters from the last one: two of n grams meet in n * n / 2**65 pairs on average."""
+    ends, _, value = _keys(texts)
+    place = np.repeat(ends[1:], np.diff(ends)) - 1 - np.arange(len(value))
+    powers = np.array([pow(int(_BASE), k, 2**64) for k in range(int(place.max(initial=0)) + 1)], dtype=np.uint64)
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(value * powers[place], dtype=np.uint64)))
+    return mix(sums[ends[1:]] - sums[ends[:-1]])
+
+
+def _word_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all letters of all words: the gram's key and its context's key; and where each word begins among them, and the end."""
+    bounded = [f"^{x}$" for x in texts]
+    ends, _, value = _keys(bounded)
+    place = np.arange(len(value)) - np.repeat(ends[:-1], np.diff(ends))
+    gram = np.zeros(len(value), dtype=np.uint64)
+    for k in range(ORDER):
+        late = np.flatnonzero(place >= k)
+        gram[late] += value[late - k] * np.uint64(pow(int(_BASE), k, 2**64))
+    # Without its last letter a gram is its context, one power higher.
+    context = (gram - value) * np.uint64(pow(int(_BASE), -1, 2**64))
+    after = place > 0
+    return mix(gram[after]), mix(context[after]), ends - np.arange(len(ends))
+
+
+class _Lookup:
+    """Values by 64-bit key: slots by the key's first bits, so that few keys share one."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.keys, self.values = keys, values
+        self.shift = np.uint64(64 - max(int(len(keys)).bit_length() + 1, 8))
+        slot = (keys >> self.shift).astype(np.int64)
+        self.first = np.searchsorted(slot, np.arange((1 << (64 - int(self.shift))) + 1)).astype(np.int32)
+        self.most = int(np.diff(self.first).max())
+
+    def into(self, out: np.ndarray, wanted: np.ndarray) -> None:
+        """Writes the values of the wanted keys that are held, each at its place."""
+        slot = (wanted >> self.shift).astype(np.int64)
+        at, end, rows = self.first[slot], self.first[slot + 1], np.arange(len(wanted))
+        for _ in range(self.most):
+            left = np.flatnonzero(at < end)
+            if not len(left):
+                break
+            at, end, rows = at[left], end[left], rows[left]
+            hit = self.keys[at] == wanted[rows]
+            out[rows[hit]] = self.values[at[hit]]
+            at, end, rows = at[~hit] + 1, end[~hit], rows[~hit]
+
+
+@dataclass
+class Model:
+    """The log-likelihood ratio of each gram's last letter, and of a letter that neither class has seen after a context: sorted keys, ratios."""
+
+    grams: np.ndarray
+    by_gram: np.ndarray
+    contexts: np.ndarray
+    by_context: np.ndarray
 
 
 class Evidence:
-    """Length-normalised differences of toxic and ordinary log-likelihoods, remembering words."""
+    """Features of texts under a model, remembering words."""
 
-    def __init__(self, model: tuple[dict[str, float], dict[str, float]]) -> None:
-        self.by_gram, self.by_context = model
+    def __init__(self, model: Model) -> None:
+        self.by_gram, self.by_context = _Lookup(model.grams, model.by_gram), _Lookup(model.contexts, model.by_context)
         self.known: dict[str, float] = {}
 
-    def word(self, word: str) -> float:
-        found = self.known.get(word)
-        if found is None:
-            by_gram, by_context = self.by_gram.get, self.by_context.get
-            found = 0.0
-            for gram in grams(word):
-                x = by_gram(gram)
-                found += by_context(gram[:-1], 0.0) if x is None else x
-            if len(self.known) >= KEPT:
-                self.known.clear()
-            self.known[word] = found
-        return found
-
-    def text(self, text: str) -> tuple[float, float, float, float]:
-        """The strong words' evidence over the number of words; the strongest word's; the three strongest ones'; the logarithm of the length."""
-        each = list(map(self.word, words(text)))
-        n = max(len(each), 1)
-        strong = sorted((x for x in each if x > 0), reverse=True)
-        return sum(min(x, MOST) for x in strong if x > STRONG) / n, sum(strong[:1]), sum(strong[:3]), math.log(n)
-
-
-def _counts(texts: DataFrame) -> list[tuple[str, tuple[int, ...]]]:
-    """Each gram's counts: for every fold in ordinary, then for every fold in toxic documents."""
-    names = [f"{kind}{f}" for kind in ("ordinary", "toxic") for f in range(FOLDS)]
+    def words(self, texts: list[str]) -> np.ndarray:
+        """The difference of the two log-likelihoods of each word."""
+        if not texts:
+            return np.empty(0)
+        gram, context, ends = _word_keys(texts)
+        found = np.zeros(len(gram))
+        self.by_context.into(found, context)
+        self.by_gram.into(found, gram)
+        return np.add.reduceat(found, ends[:-1])
+
+    def _each(self, found: list[str]) -> np.ndarray:
+        fresh = set(found) - self.known.keys()
+        if len(self.known) + len(fresh) > KEPT:
+            self.known, fresh = {}, set(found)
+        fresh = list(fresh)
+        self.known.update(zip(fresh, self.words(fresh).tolist(), strict=True))
+        return np.fromiter(map(self.known.__getitem__, found), dtype=float, count=len(found))
+
+    def texts(self, texts: list[str]) -> np.ndarray:
+        """For each text the difference over the number of words; the strongest word's; the three strongest ones'; the logarithm of the number."""
+        total, n, top = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64), np.zeros((len(texts), 3))
+        held: list[tuple[int, list[str]]] = []
+
+        def rate() -> None:
+            each = self._each([word for _, part in held for word in part])
+            end = np.cumsum([len(part) for _, part in held])
+            for (i, part), to in zip(held, end.tolist(), strict=True):
+                own = each[to - len(part) : to]
+                total[i] += own.sum()
+                n[i] += len(own)
+                top[i] = np.sort(np.concatenate([top[i], own if len(own) < 4 else np.partition(own, -3)[-3:]]))[-3:]
+            held.clear()
+
+        size = 0
+        for i, text in enumerate(texts):
+            for part in words(text):
+                held.append((i, part))
+                size += len(part)
+                if size > CHUNK // 8:
+                    rate()
+                    size = 0
+        rate()
+        some = np.maximum(n, 1)
+        return np.column_stack([total / some, top[:, 2], top.sum(axis=1), np.log(some)])
+
+
+def counts(sample: DataFrame) -> DataFrame:
+    """gram, and its count in each fold's ordinary (o0, o1, ...) and toxic (t0, t1, ...) documents. sample: text, label, fold."""
+    names = [f"{kind}{f}" for kind in "ot" for f in range(FOLDS)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [Counter() for _ in names]
         for batch in batches:
+            found = [Counter() for _ in names]
             for text, label, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "label", "fold")), strict=True):
-                found[label * FOLDS + fold].update(words(text))
-        both: dict[str, list[int]] = {}
-        for k, counter in enumerate(found):
-            for word, n in counter.items():
-                for gram in grams(word):
-                    both.setdefault(gram, [0] * len(names))[k] += n
-        rows = list(both.items())
-        for at in range(0, len(rows), 50_000):
-            part = rows[at : at + 50_000]
-            yield pa.record_batch({"gram": pa.array([g for g, _ in part])} | {name: pa.array([x[k] for _, x in part], pa.int64()) for k, name in enumerate(names)})
-
-    rows = texts.mapInArrow(count, "gram string, " + ", ".join(f"{x} long" for x in names)).groupBy("gram").agg(*(F.sum(x).alias(x) for x in names))
-    rows = rows.orderBy(F.desc(sum((F.col(x) for x in names), F.lit(0))), "gram").toPandas()
-    return list(zip(rows["gram"], rows[names].itertuples(index=False, name=None), strict=True))
-
-
-def _without(counts: list[tuple[str, tuple[int, ...]]], fold: int | None) -> dict[str, tuple[int, int]]:
-    """Ordinary and toxic counts over all folds but one; grams that only that one has are left out."""
-    out = {}
-    for gram, n in counts:
-        pair = tuple(sum(n[k * FOLDS : (k + 1) * FOLDS]) - (n[k * FOLDS + fold] if fold is not None else 0) for k in (0, 1))
-        if pair != (0, 0):
-            out[gram] = pair
-    return out
+                for part in words(text):
+                    found[label * FOLDS + fold].update(part)
+            both: dict[str, list[int]] = {}
+            for k, counter in enumerate(found):
+                for word, n in counter.items():
+                    for gram in grams(word):
+                        both.setdefault(gram, [0] * len(names))[k] += n
+            rows = list(both.items())
+            for at in range(0, len(rows), 50_000):
+                part = rows[at : at + 50_000]
+                yield pa.record_batch({"gram": pa.array([g for g, _ in part])} | {name: pa.array([x[k] for _, x in part], pa.int64()) for k, name in enumerate(names)})
+
+    rows = sample.select("text", "label", "fold").mapInArrow(count, "gram string, " + ", ".join(f"{x} long" for x in names))
+    return rows.groupBy("gram").agg(*(F.sum(x).alias(x) for x in names))
+
+
+def _context(gram: str = "gram") -> Column:
+    return F.expr(f"substring({gram}, 1, length({gram}) - 1)")
+
+
+def shared(found: DataFrame) -> DataFrame:
+    """gram, low: the last letter's probability after the gram without its first letter, by continuation counts alone.
+
+    A shorter gram counts once for each letter seen before it. Its estimate, discounted, falls back on the next shorter one's and at
+    last on equal shares of all letters and one unknown: a gram's few suffixes are joined at once and folded from the shortest.
+    """
+    letters = found.select(F.substring("gram", -1, 1)).distinct().count() + 1
+    suffixes = found.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("gram") - 1), lambda k: F.substring(F.col("gram"), k, F.length("gram")))).alias("longer"))
+    seen = suffixes.distinct().groupBy(F.expr("substring(longer, 2)").alias("suffix")).agg(F.count("*").alias("n"))
+    total = Window.partitionBy("context")
+    seen = seen.withColumn("context", _context("suffix")).select("suffix", "n", F.sum("n").over(total).alias("total"), F.count("*").over(total).alias("kinds"))
+    own = F.greatest(F.col("n") - SHARED_DISCOUNT, F.lit(0.0)) / F.col("total")
+    seen = seen.select("suffix", F.struct(F.length("suffix").alias("size"), own.alias("own"), (SHARED_DISCOUNT * F.col("kinds") / F.col("total")).alias("rest")).alias("step"))
+    shorter = found.select("gram", F.explode(F.transform(F.sequence(F.lit(2), F.length("gram")), lambda k: F.substring(F.col("gram"), k, F.length("gram")))).alias("suffix"))
+    steps = shorter.join(seen, "suffix").groupBy("gram").agg(F.array_sort(F.collect_list("step")).alias("steps"))  # at most ORDER - 1
+    return steps.select("gram", F.aggregate("steps", F.lit(1.0 / letters), lambda p, x: x["own"] + x["rest"] * p).alias("low"))
+
+
+def ratios(found: DataFrame) -> DataFrame:
+    """kind, key, r, and r0, r1, ... without the counts of one fold: of kind 0 by gram, of kind 1 by context."""
+    kept = {"": list(range(FOLDS))} | {str(f): [k for k in range(FOLDS) if k != f] for f in range(FOLDS)}
+    add = lambda kind, folds: sum((F.col(f"{kind}{f}") for f in folds), F.lit(0).cast("long"))
+    rows = found.withColumn("context", _context()).withColumn("all", add("o", kept[""]) + add("t", kept[""]))
+    rows = rows.select("gram", "context", "all", *(add(kind, folds).alias(f"{kind}_{name}") for kind in "ot" for name, folds in kept.items()))
+    sums = [F.sum("all").alias("total"), F.sum(F.least(F.col("all"), F.lit(SHARED_DISCOUNT))).alias("freed")]
+    for kind in "ot":
+        for name in kept:
+            n = f"{kind}_{name}"
+            sums += [F.sum(n).alias(f"total_{n}"), F.sum(F.least(F.col(n), F.lit(DISCOUNT))).alias(f"freed_{n}")]
+    contexts = rows.groupBy("context").agg(*sums)
+    rest = lambda n: F.when(F.col(f"total_{n}") > 0, F.col(f"freed_{n}") / F.col(f"total_{n}")).otherwise(1.0)
+    contexts = contexts.select("context", "total", "freed", *(x for name in kept for kind in "ot" for x in (F.col(f"total_{kind}_{name}"), rest(f"{kind}_{name}").alias(f"rest_{kind}_{name}"))))
+    by_context = contexts.select(F.lit(1).alias("kind"), F.col("context").alias("key"), *(F.log(F.col(f"rest_t_{name}") / F.col(f"rest_o_{name}")).alias(f"r{name}") for name in kept))
+    rows = rows.join(contexts, "context").join(shared(found), "gram")
+    rows = rows.withColumn("low", F.greatest(F.col("all") - SHARED_DISCOUNT, F.lit(0.0)) / F.col("total") + F.col("freed") / F.col("total") * F.col("low"))
+
+    def likelihood(n: str) -> Column:
+        own = F.when(F.col(f"total_{n}") > 0, F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) / F.col(f"total_{n}")).otherwise(0.0)
+        return own + F.col(f"rest_{n}") * F.col("low")
+
+    by_gram = rows.select(F.lit(0).alias("kind"), F.col("gram").alias("key"), *(F.log(likelihood(f"t_{name}") / likelihood(f"o_{name}")).alias(f"r{name}") for name in kept))
+    return by_gram.unionAll(by_context)
+
+
+def _collected(rows: DataFrame) -> dict[str, Model]:
+    """The models of ratios(), by column: a table that MOST_BYTES bounds."""
+    names = [x for x in rows.columns if x not in ("kind", "key")]
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = key_of(batch.column("key").to_pylist()).view(np.int64)
+            yield pa.record_batch([batch.column("kind"), pa.array(keys), *(batch.column(x).cast(pa.float32()) for x in names)], names=["kind", "key", *names])
+
+    table = rows.mapInArrow(hashed, "kind int, key long, " + ", ".join(f"{x} float" for x in names)).toArrow()
+    parts = []
+    for kind in (0, 1):
+        own = table.filter(pa.compute.equal(table.column("kind"), kind))
+        keys = own.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(keys, kind="stable")
+        parts.append((keys[order], {x: own.column(x).to_numpy()[order] for x in names}))
+    (grams_, by_gram), (contexts, by_context) = parts
+    return {x: Model(grams_, by_gram[x], contexts, by_context[x]) for x in names}
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -168,29 +291,44 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int, held: int) -> tuple[tuple[dict, dict], np.ndarray, np.ndarray]:
-    """The models' ratios, the scale of the evidence and the curve."""
-    sample = labelled(docs, labels, "toxic", remainder("doc_id", folds) == held, MOST_DOCUMENTS, "toxicity")
-    sample = scratch.table(sample.withColumn("fold", F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(FOLDS)).cast("int")), "toxicity-sample")
-    counts = _counts(sample)
-    parts = []
-    for fold in range(FOLDS):
-        share = docs.sparkSession.sparkContext.broadcast(learn(_without(counts, fold)))
-
-        def weigh(batches: Iterator[pa.RecordBatch], share=share) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            evidence = Evidence(share.value)
-            for batch in batches:
-                each = [evidence.text(x) for x in batch.column("text").to_pylist()]
-                columns = zip(*each, strict=True) if each else ((),) * FEATURES
-                yield pa.record_batch({f"x{i}": pa.array(x, pa.float64()) for i, x in enumerate(columns)} | {"label": batch.column("label")})
-
-        schema = ", ".join([*(f"x{i} double" for i in range(FEATURES)), "label int"])
-        parts.append(sample.where(F.col("fold") == fold).select("text", "label").mapInArrow(weigh, schema).toPandas())
-        share.destroy()
-    model = learn(_without(counts, None))
-    scratch.drop(sample)
-    rows = pd.concat(parts).sort_values([f"x{i}" for i in range(FEATURES)])
-    x, y = rows[[f"x{i}" for i in range(FEATURES)]].to_numpy(dtype=float).reshape(-1, FEATURES), rows["label"].to_numpy(dtype=float)
+def _sample(docs: DataFrame, labels: DataFrame, folds: int, held: int) -> DataFrame:
+    """doc_id, text, label, fold and size of the documents that may be learned from."""
+    found = labelled(docs, labels, "toxic", remainder("doc_id", folds) == held, MOST_DOCUMENTS, "toxicity")
+    fold = F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(FOLDS)).cast("int")
+    return found.withColumn("fold", fold).withColumn("size", F.octet_length("text").cast("long")).repartition(PARTS, "doc_id")
+
+
+def _bounded(found: DataFrame) -> DataFrame:
+    """Of the sample, whole documents up to MOST_BYTES of either label in hashed order, one at least."""
+    order = Window.partitionBy("label").orderBy(F.xxhash64(F.lit("bytes"), "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    few = found.select("doc_id", "label", "size").withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))  # 2 * MOST_DOCUMENTS ids
+    few = few.groupBy("doc_id").agg(F.max(F.col("before") + F.col("size")).alias("to"), F.min("before").alias("from"))
+    return found.join(F.broadcast(few.where((F.col("to") <= MOST_BYTES) | (F.col("from") == 0)).select("doc_id")), "doc_id").select("text", "label", "fold")
+
+
+def fit(docs: DataFrame, labels: DataFrame, folds: int, held: int) -> tuple[Model, np.ndarray, np.ndarray]:
+    """The models' ratios, the scale of the features and the curve. The ratios, some bytes a gram, and the sample's features come to the driver."""
+    held_sample = scratch.table(_sample(docs, labels, folds, held), "toxicity-sample")
+    sample = _bounded(held_sample)
+    found = scratch.table(counts(sample), "toxicity-grams")
+    models = _collected(ratios(found))
+    scratch.drop(found)
+    share = docs.sparkSession.sparkContext.broadcast([models[f"r{f}"] for f in range(FOLDS)])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        evidence = [Evidence(x) for x in share.value]
+        for batch in batches:
+            for f in range(FOLDS):
+                own = batch.filter(pa.compute.equal(batch.column("fold"), f))
+                x = evidence[f].texts(own.column("text").to_pylist())
+                yield pa.record_batch({f"x{i}": pa.array(x[:, i]) for i in range(FEATURES)} | {"label": own.column("label")})
+
+    names = [f"x{i}" for i in range(FEATURES)]
+    seen = sample.mapInArrow(weigh, ", ".join([*(f"{x} double" for x in names), "label int"])).toPandas().sort_values([*names, "label"])
+    share.destroy()
+    scratch.drop(held_sample)
+    model = models["r"]
+    x, y = seen[names].to_numpy(dtype=float).reshape(-1, FEATURES), seen["label"].to_numpy(dtype=float)
     scale = np.maximum(x.std(axis=0), 1e-6) if len(x) else np.ones(FEATURES)
     if len(set(y)) < 2:
         return model, scale, np.array([1.0] + [0.0] * (FEATURES - 1) + [-1.0])
@@ -218,7 +356,7 @@ def scored(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, ke
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         evidence = Evidence(share.value)
         for batch in batches:
-            x = np.array([evidence.text(t or "") for t in batch.column("text").to_pylist()]).reshape(-1, FEATURES) / scale
+            x = evidence.texts([t or "" for t in batch.column("text").to_pylist()]) / scale
             p = 1 / (1 + np.exp(-np.clip(x @ curve[:-1] + curve[-1], -30, 30)))
             yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(p, pa.float64())], names=[*keep, SCORE])
 
