@@ -108,6 +108,58 @@ def test_jaccard_large_groups_of_near_copies(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def linked(rows, width, percent):
+    """The component of each doc_id, by all pairs of rows."""
+    sets = []
+    for _, t in rows:
+        w = words(t)
+        sets.append({tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set())
+    parent = {i: i for i, _ in rows if i is not None}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, s in enumerate(sets):
+        for j in range(i):
+            if None not in (rows[i][0], rows[j][0]) and s and sets[j] and 100 * len(s & sets[j]) >= percent * len(s | sets[j]):
+                a, b = find(rows[i][0]), find(rows[j][0])
+                parent[max(a, b)] = min(a, b)
+    return {i: find(i) for i in parent}
+
+
+def test_jaccard_clashing_ids(spark, monkeypatch):
+    """Different texts under one doc_id are one document; parts of lists and salts as small as they can be."""
+    monkeypatch.setattr(jaccard, "BLOCK", 2)
+    rng = np.random.default_rng(8)
+    base = [[f"{c}{i}" for i in range(40)] for c in "abcdef"]
+
+    def near(k):
+        w = list(base[k])
+        w[rng.integers(40)] = f"x{rng.integers(1000)}"
+        return " ".join(w)
+
+    rows = [(1, near(0)), (1, near(1)), (2, near(0)), (3, near(1)), (7, near(2)), (8, " ".join(base[2])), (0, " ".join(base[2])), (8, near(3)), (9, near(3)), (5, near(4)), (4, near(4))]
+    rows += [(20 + i, near(i % 2 + 4)) for i in range(14)] + [(None, " ".join(base[2])), (None, "alone with a null id"), (50, None), (50, near(1)), (60, ""), (60, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for width, percent in ((1, 90), (2, 80), (3, 70)):
+        want = linked(rows, width, percent)
+        got = jaccard.join(df, width, percent).collect()
+        assert len(got) == len(rows)
+        assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == want
+        assert sorted(-1 if r.component_id is None else r.component_id for r in got if r.doc_id is None) == [-1, want[8]]
+    assert {want[i] for i in (1, 2, 3)} == {1} and want[9] == 0
+    kept = jaccard.distinct(df.withColumn("touched", df.doc_id), 2, 80)
+    assert kept.columns == ["doc_id", "text", "touched"]
+    found = Counter((r.doc_id, r.text) for r in kept.collect())
+    want = linked(rows, 2, 80)
+    for i in {c for c in want.values()}:
+        least = min((t is None, t or "") for j, t in rows if j == i)
+        assert found.pop((i, None if least[0] else least[1])) == 1
+    assert all(i is None for i, _ in found) and sum(found.values()) == 2
+
+
 def test_fingerprints(docs, empty):
     got = fingerprints.fingerprints(docs).collect()
     rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda x: (-x[0], x[1]))

@@ -16,7 +16,7 @@ def components(links: DataFrame) -> DataFrame:
     driver. Loops are ignored; an empty table gives an empty one.
     """
     both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = scratch.table(both, "links")
+    both = scratch.table(both, "edges")
     labels = scratch.table(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))

@@ -30,6 +30,10 @@ _MASK = np.uint64(0xFFFFFFFFFFFF0000)
 _SETS = "doc_id long, n long, sig_a long, sig_b long, mins array<long>, first array<long>, place array<int>, second array<long>, third array<long>, members binary"
 
 
+#: Sets of a part of a prefix token's list.
+BLOCK = 1024
+
+
 def _sets(block: pa.Table, width: int) -> list[np.ndarray]:
     hashes, counts = hash_words(blocks.texts_of(block))
     ends = np.cumsum(counts)
@@ -44,8 +48,8 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def documents(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """For each document its set's size and signature; if it may link with another set, also its prefixes and the set."""
+def documents(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, int]:
+    """For each document its set's size and signature; if it may link with another set, also its prefixes and the set. And how many salts a hot key needs: it grows with the blocks."""
     n_blocks, parts = blocks.size(docs)
     blocked = blocks.dealt(docs, n_blocks)
 
@@ -80,17 +84,37 @@ def documents(docs: DataFrame, width: int, percent: int) -> DataFrame:
     found = scratch.table(blocks.totals(blocked, keys_of, parts), "shingles")
     out = scratch.table(blocks.with_totals(blocked, found, describe, _SETS, 1), "sets")
     scratch.drop(found)
-    return out
+    return out, n_blocks + 16
+
+
+def _shared(rows: DataFrame, keys: list[str], own: list, whole: list, salts: int) -> DataFrame:
+    """rows with what all rows of a key have in common, also where one key has a large part of all rows.
+
+    rows have a column salt, which deals each key's rows into at most `salts` groups; own aggregates a group, whole the key's groups.
+    """
+    groups = rows.groupBy(*keys, "salt").agg(*own)
+    known = groups.select(*keys, "salt").join(groups.groupBy(*keys).agg(*whole), keys)
+    return rows.join(known, [*keys, "salt"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that share a prefix token under each order, and whose sets are alike enough."""
+def _fetched(pairs: DataFrame, sets: DataFrame, x: str, columns: list[str]) -> DataFrame:
+    """pairs with columns of their set x (a or b), which goes to several tasks if many pairs have it. pairs have a column salt."""
+    row = sets.select(F.col("set").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
+    return pairs.join(pairs.select(x, "salt").distinct().join(row, x), [x, "salt"])
 
-    def side(x: str) -> DataFrame:
-        return sets.select(F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("first", "second", "third", "members")))
 
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = both.where(" and ".join(f"arrays_overlap({c}_a, {c}_b)" for c in ("first", "second", "third")))
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, salts: int) -> DataFrame:
+    """The pairs (a, b) of sets that share a prefix token under each order, and whose sets are alike enough.
+
+    The prefixes are met first; only what all three filters leave fetches the sets.
+    """
+    orders = ["first", "second", "third"]
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int"))
+    row = lambda x, columns: sets.select(F.col("set").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
+    light = _fetched(pairs.join(row("a", orders), "a"), sets, "b", orders)
+    light = light.where(" and ".join(f"arrays_overlap({c}_a, {c}_b)" for c in orders)).select("a", "b", "salt")
+    light = scratch.table(light, "candidates")
+    both = _fetched(light.join(row("a", ["members"]), "a"), sets, "b", ["members"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,9 +123,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 s, t = blocks.unpack_sorted(x.as_py()), blocks.unpack_sorted(y.as_py())
                 both_n = len(np.intersect1d(s, t, assume_unique=True))
                 keep.append(100 * both_n >= percent * (len(s) + len(t) - both_n))
-            yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(keep, pa.bool_()))
+            yield pa.record_batch([batch.column(c) for c in ("a", "b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "members_a", "members_b").mapInArrow(check, "a long, b long")
+    out = both.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), "members_a", "members_b").mapInArrow(check, "a long, b long")
+    out = scratch.table(out.where("a <> b"), "links")
+    scratch.drop(light)
+    return out
 
 
 def _fitting(percent: int) -> str:
@@ -109,55 +136,90 @@ def _fitting(percent: int) -> str:
     return f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
 
 
+def _stars(sets: DataFrame, salts: int) -> DataFrame:
+    """Pairs (a, b) of each set with the least one of those that have the same smallest token under a plain hash order, for each order."""
+    keyed = sets.select(F.col("set").alias("a"), F.col("n").alias("n_a"), F.posexplode("mins").alias("order", "least"))
+    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int"))
+    hub = F.min(F.struct(F.col("a").alias("b"), F.col("n_a").alias("n_b")))
+    return _shared(keyed, ["order", "least"], [hub.alias("own")], [F.min("own").alias("hub")], salts).select("a", "n_a", "hub.b", "hub.n_b").where("a <> b")
+
+
+def _meetings(tokens: DataFrame, percent: int, salts: int) -> DataFrame:
+    """Pairs (a, b) of sets of different components that share a prefix token at a place that leaves room for enough others.
+
+    tokens: set, n, first, place, near. A token's list is dealt into parts of BLOCK sets, and each two parts meet on their own.
+    """
+    tokens = tokens.withColumn("salt", F.pmod(F.xxhash64("set"), F.lit(salts)).cast("int"))
+    own = [F.min("near").alias("low"), F.max("near").alias("high"), F.count("*").alias("size")]
+    tokens = _shared(tokens, ["first"], own, [F.min("low").alias("low"), F.max("high").alias("high"), F.sum("size").alias("size")], salts).where("low < high")
+    tokens = tokens.withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("set", F.lit("part")), F.col("parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    side = lambda x, parts: tokens.select("first", *parts, *(F.col(c).alias(f"{c}_{x}") for c in ("set", "n", "place", "near")))
+    a, b = side("a", [F.col("part").alias("part_a"), every.alias("part_b")]), side("b", [every.alias("part_a"), F.col("part").alias("part_b")])
+    room = f"1 + least(n_a - 1 - place_a, n_b - 1 - place_b) >= {percent} * (n_a + n_b) / {100 + percent}"
+    met = a.join(b, ["first", "part_a", "part_b"]).where(f"near_a < near_b and {_fitting(percent)} and {room}")
+    return met.select(F.col("set_a").alias("a"), F.col("set_b").alias("b")).distinct()
+
+
 def join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     docs needs doc_id and text. A-Z in lower case; words are runs without U+0020 and U+0009 to U+000D; the set holds the distinct
     sequences of `width` words, or the whole sequence if it is shorter. Two documents link when 100 * intersection >= percent *
     union; component_id is the smallest doc_id that links reach. Null and empty texts have no set and link with nothing.
-    Repeated rows each give a row. Rows with one doc_id are one document to the links. A null doc_id gets the component of its
-    set, or null. An empty table gives no rows.
+    Repeated rows each give a row. Rows with one doc_id are one document to the links, whatever their texts: it links with all that any of them
+    links with. A row with a null doc_id gets the component of its set if some document has that set, else null, and joins nothing. An empty table gives no rows.
     """
-    described = documents(docs, width, percent)
-    classes = described.where("n > 0").groupBy("sig_a", "sig_b", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    described, salts = documents(docs, width, percent)
+    same = ["sig_a", "sig_b", "n"]
+    classes = described.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = scratch.table(classes, "classes")
-    reps = classes.where("rep is not null").select(F.col("rep").alias("doc_id"), "sig_a", "sig_b", "n")
-    sets = described.where("members is not null").join(reps, ["doc_id", "sig_a", "sig_b", "n"], "left_semi").dropDuplicates(["doc_id"])
-    sets = scratch.table(sets.select("doc_id", "n", "mins", "first", "place", "second", "third", "members"), "class-sets")
-
-    keyed = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.posexplode("mins").alias("order", "least"))
-    stars = keyed.groupBy("order", "least").agg(F.min(F.struct(F.col("a").alias("b"), F.col("n_a").alias("n_b"))).alias("hub"), F.count("*").alias("size"))
-    stars = stars.where("size > 1").select("order", "least", "hub.b", "hub.n_b")
-    pairs = keyed.join(stars, ["order", "least"]).where("a <> b and " + _fitting(percent)).select("a", "b").distinct()
-    near = components(_verified(pairs, sets, percent)).withColumnRenamed("component_id", "near")
-
-    tokens = sets.select(F.col("doc_id").alias("id"), "n", F.explode(F.arrays_zip("first", "place")).alias("t")).select("id", "n", "t.first", "t.place")
-    tokens = tokens.join(near, "id", "left").withColumn("near", F.coalesce("near", "id"))
-    tokens = scratch.table(tokens, "prefix-tokens")
-    mixed = tokens.groupBy("first").agg(F.min("near").alias("low"), F.max("near").alias("high")).where("low < high").select("first")
-    tokens = tokens.join(mixed, "first", "left_semi")
-    side = lambda x: tokens.select("first", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "place", "near")))
-    room = f"1 + least(n_a - 1 - place_a, n_b - 1 - place_b) >= {percent} * (n_a + n_b) / {100 + percent}"
-    met = side("a").join(side("b"), "first").where(f"near_a < near_b and {_fitting(percent)} and {room}")
-    met = met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    links = _verified(met, sets, percent)
-    links = links.join(near.withColumnRenamed("id", "a"), "a", "left").withColumn("from", F.coalesce("near", "a")).drop("near")
-    links = links.join(near.withColumnRenamed("id", "b"), "b", "left").withColumn("to", F.coalesce("near", "b"))
-    far = components(links.select(F.col("from").alias("a"), F.col("to").alias("b")))
+    # Of a class's rows, all with the same set, that of the least doc_id stays; a class is told from others under that id by its signature.
+    sets = described.where("members is not null").join(classes.where("rep is not null").drop("copies").withColumnRenamed("rep", "doc_id"), ["doc_id", *same], "left_semi")
+    sets = sets.dropDuplicates(["doc_id", *same]).select(F.struct(F.col("doc_id").alias("rep"), F.col("sig_a").alias("sig")).alias("set"), "n", "mins", "first", "place", "second", "third", "members")
+    sets = scratch.table(sets, "class-sets")
+
+    pairs = _stars(sets, salts).where(_fitting(percent)).select("a", "b").distinct()
+    stars = _verified(pairs, sets, percent, salts)
+    clashing = _clashing(described, classes)
+    first_links = stars.unionAll(clashing)
+    near = scratch.table(components(first_links).withColumnRenamed("component_id", "near"), "near")
+
+    tokens = sets.select("set", "n", F.explode(F.arrays_zip("first", "place")).alias("t")).select(F.col("set.rep").alias("id"), "set", "n", "t.first", "t.place")
+    tokens = scratch.table(tokens.join(near, "id", "left").select("set", "n", "first", "place", F.coalesce("near", "id").alias("near")), "prefix-tokens")
+    links = _verified(_meetings(tokens, percent, salts), sets, percent, salts)
+    found = links.join(near.withColumnRenamed("id", "a"), "a", "left").withColumn("from", F.coalesce("near", "a")).drop("near")
+    found = found.join(near.withColumnRenamed("id", "b"), "b", "left").withColumn("to", F.coalesce("near", "b"))
+    far = scratch.table(components(found.select(F.col("from").alias("a"), F.col("to").alias("b"))).withColumnRenamed("component_id", "far"), "far")
+    for done in (sets, stars, tokens, links):
+        scratch.drop(done)
 
     known = classes.join(near.withColumnRenamed("id", "rep"), "rep", "left").withColumn("near", F.coalesce("near", "rep"))
-    known = known.join(far.select(F.col("id").alias("near"), F.col("component_id").alias("far")), "near", "left")
-    known = known.select("sig_a", "sig_b", "n", F.coalesce("far", "near").alias("component_id"), "rep", "copies").where("component_id <> rep or copies > 1")
-    out = described.select("doc_id", "n", "sig_a", "sig_b").join(known.drop("rep", "copies"), ["sig_a", "sig_b", "n"], "left")
+    known = known.join(far.withColumnRenamed("id", "near"), "near", "left")
+    known = known.select(*same, F.coalesce("far", "near").alias("component_id"), "rep", "copies").where("component_id <> rep or copies > 1")
+    out = described.select("doc_id", *same).join(known.drop("rep", "copies"), same, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _clashing(described: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the least ids of classes that one doc_id has."""
+    ids = described.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("sig_a").alias("low"), F.max("sig_a").alias("high")).where("low < high").select("doc_id")
+    rows = described.select("doc_id", "sig_a", "sig_b", "n").where("n > 0").join(ids, "doc_id", "left_semi").distinct().join(classes, ["sig_a", "sig_b", "n"])
+    return rows.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+
+
 def distinct(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs' rows without near copies: of each component of join() the row of its smallest doc_id stays, of repeated rows one.
+    """docs' rows without near copies: of each component of join() a row of its smallest doc_id stays.
 
+    Of several rows with that id the one with the least text stays (a null text comes last; of equal texts the row with the least hash of its columns).
     Rows with a null doc_id cannot be told apart and all stay.
     """
-    kept = join(docs, width, percent).where("doc_id = component_id").select("doc_id").distinct()
-    kept = kept.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"))
-    first = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.unionAll(docs.where("doc_id is null"))
+    kept = join(docs, width, percent).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    name, copies = "touchline_kept", "touchline_copies"
+    kept = kept.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias(name), F.col("rows").alias(copies))
+    rows = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col(name))
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    single = rows.where(F.col(copies) == 1).select(*every)
+    order = F.struct(F.col("text").isNull(), F.col("text"), F.xxhash64(F.to_json(F.struct(*every))))
+    several = rows.where(F.col(copies) > 1).groupBy(name).agg(F.min_by(F.struct(*every), order).alias("row")).select("row.*")
+    return single.unionAll(several).unionAll(docs.where("doc_id is null"))
