@@ -181,8 +181,8 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
     pairs = _stars(sets, salts).where(_fitting(percent)).select("a", "b").distinct()
     stars = _verified(pairs, sets, percent, salts)
-    clashing = _clashing(described, classes)
-    first_links = stars.unionAll(clashing)
+    mixed = scratch.table(_mixed(described, same), "mixed-ids")
+    first_links = stars.unionAll(mixed.where("n > 0").join(classes, same).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     near = scratch.table(components(first_links).withColumnRenamed("component_id", "near"), "near")
 
     tokens = sets.select("set", "n", F.explode(F.arrays_zip("first", "place")).alias("t")).select(F.col("set.rep").alias("id"), "set", "n", "t.first", "t.place")
@@ -197,15 +197,17 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     known = classes.join(near.withColumnRenamed("id", "rep"), "rep", "left").withColumn("near", F.coalesce("near", "rep"))
     known = known.join(far.withColumnRenamed("id", "near"), "near", "left")
     known = known.select(*same, F.coalesce("far", "near").alias("component_id"), "rep", "copies").where("component_id <> rep or copies > 1")
-    out = described.select("doc_id", *same).join(known.drop("rep", "copies"), same, "left")
+    known = known.drop("rep", "copies")
+    out = described.select("doc_id", *same).where("n > 0").join(known, same, "left").select("doc_id", "n", "component_id")
+    beside = mixed.where("n > 0").join(known, same).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    out = out.unionAll(described.where("n = 0").select("doc_id", "n").join(beside, "doc_id", "left"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _clashing(described: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links (a, b) between the least ids of classes that one doc_id has."""
-    ids = described.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("sig_a").alias("low"), F.max("sig_a").alias("high")).where("low < high").select("doc_id")
-    rows = described.select("doc_id", "sig_a", "sig_b", "n").where("n > 0").join(ids, "doc_id", "left_semi").distinct().join(classes, ["sig_a", "sig_b", "n"])
-    return rows.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+def _mixed(described: DataFrame, same: list[str]) -> DataFrame:
+    """The doc_ids that have rows with different sets, or with a set and without, and each of these sets."""
+    ids = described.where("doc_id is not null").groupBy("doc_id").agg(F.min("sig_a").alias("low"), F.max("sig_a").alias("high")).where("low < high").select("doc_id")
+    return described.select("doc_id", *same).join(ids, "doc_id", "left_semi").distinct()
 
 
 def distinct(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
