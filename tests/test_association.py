@@ -93,9 +93,9 @@ def test_anchors_cover_a_share(spark):
 
 
 def test_licences_fail_closed(spark):
-    values = ["MIT", "AGPL-3.0", "", None, "unknown", "Custom", "CC-BY-NC 4.0", "Apache License 2.0"]
+    values = ["MIT", "AGPL-3.0", "", None, "unknown", "Custom", "CC-BY-NC 4.0", "Apache License 2.0", "BY-NC", "CC  BY 4.0", "Self-Recorded", "academic", "non  commercial, MIT"]
     got = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").orderBy("i").select(Q.licence_class(F.col("v"))).collect()]
-    assert got == ["permissive", "non_permissive", "unknown", "unknown", "unknown", "unknown", "non_permissive", "permissive"]
+    assert got == ["permissive", "non_permissive", "unknown", "unknown", "unknown", "unknown", "non_permissive", "permissive", "non_permissive", "permissive", "permissive", "unknown", "non_permissive"]
     models = spark.createDataFrame([(1, "d", "m", "weights", "MIT"), (2, "d", "m", "weights", "MIT"), (2, "d", "m", "code", "?")], "run_id int, stage string, model string, axis string, value string")
     assert {r.run_id: (r.passed, r.n_findings) for r in Q.certify(models).collect()} == {1: (True, 0), 2: (False, 1)}
     a = spark.createDataFrame([("x", "p", "1"), ("x", "q", "2"), ("y", "q", "2"), ("y", "p", "1")], "config string, path string, value string")

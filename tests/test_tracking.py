@@ -308,6 +308,38 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert {r[2] for r in want} >= {"touch", "pass", "missed_pass", "possession_gain", "restart"}
 
 
+def test_events_of_a_hold_are_where_it_begins_and_ends(spark):
+    """Player 1 holds frames 0 to 5, 2 of the same team 8 to 12, 3 of another from 13, 4 of no known team from 20."""
+    near = {**dict.fromkeys(range(6), (1, 0)), **dict.fromkeys(range(8, 13), (2, 0)), **dict.fromkeys(range(13, 20), (3, 1)), **dict.fromkeys(range(20, 26), (4, None))}
+    rows = [(1, f, *near.get(f, (None, None)), False, 0.5 if f < 8 else 0.9, f == 10) for f in range(26)]
+    got = live.possession_events(spark.createDataFrame(rows, "clip long, frame long, player_id long, team long, out boolean, confidence double, contested boolean")).collect()
+    want = [(0, "touch", 1, None, 0.5, False), (5, "pass", 1, 2, 0.5, True), (8, "touch", 2, None, 0.9, True), (12, "missed_pass", 2, 3, 0.9, False), (15, "possession_gain", 3, 2, 0.9, False), (13, "touch", 3, None, 0.9, False)]
+    want += [(19, "missed_pass", 3, 4, 0.9, False), (22, "possession_gain", 4, 3, 0.9, False), (20, "touch", 4, None, 0.9, False)]
+    assert [tuple(r)[1:] for r in got] == want
+
+
+def test_streamed_homographies_equal_batch(spark, tmp_path):
+    """Frames in several files, one a trigger: the mean and what is carried go on from file to file."""
+    import os
+
+    h = lambda x: [[1.0, 0.0, x], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]
+    rows = [(c, f, h(float(f * c)) if f % 5 < 3 else None, 0.8) for c in (1, 2) for f in range(18)]
+    schema = "clip long, frame long, homography array<array<double>>, confidence double"
+    batch = spark.createDataFrame(rows, schema)
+    key = lambda found: sorted((r.clip, r.frame, r.status, round(r.confidence, 9), r.homography and round(r.homography[0][2], 9)) for r in found)
+    (tmp_path / "all").mkdir()
+    for k in range(6):
+        batch.where(f"frame >= {3 * k} and frame < {3 * k + 3}").coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+        for part in (tmp_path / f"in/{k}").glob("part-*.parquet"):
+            part.rename(tmp_path / "all" / f"{k}-{part.name}")
+            os.utime(tmp_path / "all" / f"{k}-{part.name}", (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = live.smoothed_homographies(live.read_events(spark, str(tmp_path / "all"), schema), most_carried=1)
+    query = stream.writeStream.format("memory").queryName("smooth").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination(180)
+    want = key(live.smoothed_homographies(batch, most_carried=1).collect())
+    assert key(spark.table("smooth").collect()) == want and {r[2] for r in want} == {"fresh", "smoothed", "carried", "absent"}
+
+
 def test_stream_buckets_and_late_rows(spark, tmp_path):
     schema = "match_id long, ts timestamp, type string"
     rows = [(1, s, "shot" if s % 5 == 0 else "pass") for s in range(100)]

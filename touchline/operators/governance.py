@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that mark a licence. The first list wins.
-RESTRICTED = ["agpl", "gpl", "non-commercial", "noncommercial", "cc-by-nc", "research only", "academic", "proprietary"]
-PERMISSIVE = ["mit", "apache", "bsd", "cc0", "cc-by", "public domain", "isc", "unlicense"]
+RESTRICTED = ["agpl", "gpl", "non-commercial", "noncommercial", "non commercial", "by-nc", "cc-by-nc", "research-only", "research only", "non-shippable", "selection-only", "proprietary"]
+PERMISSIVE = ["apache", "mit", "bsd", "isc", "cc0", "public domain", "public-domain", "unlicense", "cc by", "cc-by", "synthetic", "owned", "self-recorded", "permissive"]
 
 
 def licence_class(value: Column) -> Column:
     """permissive, non_permissive, or unknown for anything else: unknown never passes."""
-    text = F.lower(F.trim(F.coalesce(value, F.lit(""))))
+    text = F.trim(F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), r"\s+", " "))
     has = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
     return F.when((text == "") | (text == "unknown"), "unknown").when(has(RESTRICTED), "non_permissive").when(has(PERMISSIVE), "permissive").otherwise("unknown")
 

@@ -15,7 +15,7 @@ ORACLE_SQL: dict = {}
 
 _EVENTS = """
 ev0 as (
-  select day(ts) - 1 as match_id, cast(hour(ts) // 12 as int) + 1 as half, event_id,
+  select datediff('day', date '1970-01-01', cast(ts as date)) as match_id, cast(hour(ts) // 12 as int) + 1 as half, event_id,
     datediff('day', date '1970-01-01', cast(ts as date)) * 86400 + hour(ts) * 3600 + minute(ts) * 60 + cast(floor(second(ts)) as bigint) as t,
     ['pass','pass','carry','pass','cross','shot','header','tackle','carry','block','throw_in','pass'][(event_id * 7 + cast(json_extract_string(props, '$.k') as bigint)) % 12 + 1] as type,
     case when event_id % 17 <> 0 then user_id end as player_id, user_id % 2 as club_id, case when user_id < 2 then 1 else user_id % 10 + 2 end as role,

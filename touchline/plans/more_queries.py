@@ -489,13 +489,16 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return A.serving_diagnostics(rows, {"gap": (0.0, 30.0), "body": (0.0, 80.0)})
 
 
+_VALUES = ["MIT", "Apache-2.0", "CC  BY 4.0", "synthetic", "AGPL-3.0", "unknown", "bsd-3", "CC-BY-NC 4.0", "custom", "CC BY-NC 4.0", "academic", "self-recorded"]
+
+
 def _licences(spark: SparkSession, sf: str) -> DataFrame:
-    names = F.array(*map(F.lit, ["MIT", "Apache-2.0", "AGPL-3.0", "unknown", "bsd-3", "CC-BY-NC 4.0", "custom"]))
+    names = F.array(*map(F.lit, _VALUES))
     k = F.col("p_partkey")
-    return S.table(spark, sf, "part").select((k % 50).alias("run_id"), F.lit("detect").alias("stage"), F.col("p_brand").alias("model"), F.lit("weights").alias("axis"), F.when(k % 50 < 40, F.get(names, (k % 2).cast("int"))).otherwise(F.get(names, (k % 7).cast("int"))).alias("value"))
+    return S.table(spark, sf, "part").select((k % 50).alias("run_id"), F.lit("detect").alias("stage"), F.col("p_brand").alias("model"), F.lit("weights").alias("axis"), F.get(names, (F.floor(k / 50) % F.when(k % 50 < 40, 4).otherwise(12)).cast("int")).alias("value"))
 
 
-@query("licence_certification", "with m as (select p_partkey % 50 as run_id, ['MIT','Apache-2.0','AGPL-3.0','unknown','bsd-3','CC-BY-NC 4.0','custom'][(case when p_partkey % 50 < 40 then p_partkey % 2 else p_partkey % 7 end) + 1] as v from part) select run_id, count(*) filter (v not in ('MIT', 'Apache-2.0', 'bsd-3')) = 0 as passed, count(*) filter (v not in ('MIT', 'Apache-2.0', 'bsd-3')) as n_findings from m group by run_id")
+@query("licence_certification", f"with m as (select p_partkey % 50 as run_id, {_VALUES}[(p_partkey // 50) % (case when p_partkey % 50 < 40 then 4 else 12 end) + 1] as v from part), t as (select run_id, trim(regexp_replace(lower(v), '\\s+', ' ', 'g')) as v from m), c as (select run_id, v not in ('', 'unknown') and not regexp_matches(v, 'gpl|non-commercial|noncommercial|non commercial|by-nc|research-only|research only|non-shippable|selection-only|proprietary') and regexp_matches(v, 'apache|mit|bsd|isc|cc0|public domain|public-domain|unlicense|cc by|cc-by|synthetic|owned|self-recorded|permissive') as fine from t) select run_id, bool_and(fine) as passed, count(*) filter (not fine) as n_findings from c group by run_id")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return Q.certify(_licences(spark, sf))
 

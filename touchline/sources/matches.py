@@ -1,7 +1,7 @@
 """Match events from the driver's tables: a deterministic projection in integer arithmetic.
 
 Columns of the stream that all statistics read: match_id, half, event_id, frame_idx, t, type, player_id, club_id, role, x, y, end_x, end_y,
-outcome, outcome_source, replay, opponents, teammates. A day is a match, noon its half time.
+outcome, outcome_source, replay, opponents, teammates. A day is a match, numbered from 1970-01-01, noon its half time.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ def match_events(spark: SparkSession, sf_dir: str, max_gap: float = DRIVER_GAP)
     days = F.datediff(F.col("ts").cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
     t = days * 86400 + F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")  # whole seconds, whatever the session's zone
     rows = table(spark, sf_dir, "events").select(
-        (F.dayofmonth("ts") - 1).cast("long").alias("match_id"),
+        days.alias("match_id"),
         (F.hour("ts") / 12).cast("int").alias("_late"),
         F.col("event_id").cast("long"),
         t.alias("frame_idx"),

@@ -40,46 +40,74 @@ def sessions(events: DataFrame, gap_s: int = 10, late: str = "10 seconds") -> Da
     return rows.agg(F.count("*").alias("n_events"), F.min("ts").alias("start"), F.max("ts").alias("end")).select("match_id", "start", "end", "n_events")
 
 
-_HOLDS = "clip long, frame long, kind string, player_id long, from_player_id long"
-_STATE = "holder long, holder_team long, pending long, pending_team long, pending_n long, out boolean, last_frame long"
+_HOLDS = "clip long, frame long, kind string, player_id long, from_player_id long, confidence double, contested boolean"
+_HOLD = "player long, team long, start long, last long, sure double, n long"
+_STATE = f"holder struct<{_HOLD.replace(' long', ': long').replace(' double', ': double')}>, pending struct<{_HOLD.replace(' long', ': long').replace(' double', ': double')}>, out boolean, last_frame long"
+#: How long a clip's state is kept without new frames, in milliseconds.
+IDLE_MS = 3_600_000
+
+
+class _Hold:
+    """A stretch of one player's frames: its first and last one and the sum of their confidences."""
+
+    def __init__(self, player: int, team: int | None, start: int, last: int, sure: float = 0.0, n: int = 0) -> None:
+        self.player, self.team, self.start, self.last, self.sure, self.n = player, team, start, last, sure, n
+
+    def add(self, frame: int, confidence: float) -> None:
+        self.last, self.sure, self.n = frame, self.sure + confidence, self.n + 1
+
+    @property
+    def confidence(self) -> float:
+        return self.sure / self.n
+
+    @property
+    def state(self) -> tuple:
+        return (self.player, self.team, self.start, self.last, self.sure, self.n)
 
 
 class _Machine:
-    """Who holds the ball: confirmed after `hold` near frames, with restarts after the ball was out."""
+    """Who holds the ball: confirmed after `hold` near frames, with restarts after the ball was out.
+
+    A pass, good or missed, is of the holder's last frame and the touch of the new one's first; a gain and a restart are of the frame that confirms.
+    """
 
     def __init__(self, state: tuple | None, hold: int) -> None:
-        self.holder, self.holder_team, self.pending, self.pending_team, self.n, self.out, self.last = state or (None, None, None, None, 0, False, -1)
+        holder, pending, self.out, self.last = state or (None, None, False, -1)
+        self.holder, self.pending = (x and _Hold(*x) for x in (holder, pending))
         self.hold = hold
 
-    def step(self, frame: int, player: int | None, team: int | None, out: bool) -> Iterator[tuple]:
-        self.last = frame
-        self.out = self.out or out
+    def step(self, frame: int, player: int | None, team: int | None, out: bool, confidence: float, contested: bool) -> Iterator[tuple]:
+        self.last, self.out = frame, self.out or out
+        held = self.holder
         if player is None:
-            self.pending, self.n = None, 0
+            self.pending = None
             return
-        if player == self.holder:
-            self.pending, self.n = None, 0
+        if held and player == held.player:
+            held.add(frame, confidence)
+            self.pending = None
             return
-        if player != self.pending:
-            self.pending, self.pending_team, self.n = player, team, 0
-        self.n += 1
-        if self.n < self.hold:
+        if not self.pending or player != self.pending.player:
+            self.pending = _Hold(player, team, frame, frame)
+        self.pending.add(frame, confidence)
+        if self.pending.n < self.hold:
             return
+        new, self.pending = self.pending, None
         if self.out:
-            yield frame, "restart", player, None
-        elif self.holder is not None:
-            if self.holder_team == team:
-                yield frame, "pass", self.holder, player
+            yield frame, "restart", player, None, new.confidence, contested
+            self.out = False
+        elif held:
+            both = min(held.confidence, new.confidence)
+            if held.team is not None and held.team == new.team:
+                yield held.last, "pass", held.player, player, both, contested
             else:
-                yield frame, "missed_pass", self.holder, player
-                yield frame, "possession_gain", player, self.holder
-        yield frame, "touch", player, None
-        self.out = False
-        self.holder, self.holder_team, self.pending, self.n = player, team, None, 0
+                yield held.last, "missed_pass", held.player, player, both, contested
+                yield frame, "possession_gain", player, held.player, new.confidence, contested
+        yield new.start, "touch", player, None, new.confidence, contested
+        self.holder = new
 
     @property
     def state(self) -> tuple:
-        return (self.holder, self.holder_team, self.pending, self.pending_team, self.n, self.out, self.last)
+        return (self.holder and self.holder.state, self.pending and self.pending.state, self.out, self.last)
 
 
 def _nullable(x: object) -> int | None:
@@ -88,42 +116,54 @@ def _nullable(x: object) -> int | None:
 
 def _run(clip: int, rows: pd.DataFrame, machine: _Machine) -> pd.DataFrame:
     rows = rows[rows["frame"] > machine.last].sort_values("frame")
+    sure = rows["confidence"] if "confidence" in rows else pd.Series(1.0, rows.index)
+    close = rows["contested"] if "contested" in rows else pd.Series(False, rows.index)
     out = []
-    for frame, player, team, gone in zip(rows["frame"], rows["player_id"], rows["team"], rows["out"], strict=True):
-        out += [(clip, *x) for x in machine.step(int(frame), _nullable(player), _nullable(team), bool(gone))]
-    found = pd.DataFrame(out, columns=["clip", "frame", "kind", "player_id", "from_player_id"])
-    return found.astype({"player_id": "Int64", "from_player_id": "Int64"})
+    for frame, player, team, gone, p, c in zip(rows["frame"], rows["player_id"], rows["team"], rows["out"], sure, close, strict=True):
+        out += [(clip, *x) for x in machine.step(int(frame), _nullable(player), _nullable(team), bool(gone), float(p), bool(c))]
+    found = pd.DataFrame(out, columns=["clip", "frame", "kind", "player_id", "from_player_id", "confidence", "contested"])
+    return found.astype({"player_id": "Int64", "from_player_id": "Int64", "confidence": "float64", "contested": "bool"}).round({"confidence": 4})
 
 
-def possession_events(frames: DataFrame, hold: int = 3) -> DataFrame:
+def possession_events(frames: DataFrame, hold: int = 3, idle_ms: int = IDLE_MS) -> DataFrame:
     """Passes, missed passes, gains, restarts and touches from the nearest player of each frame, as a keyed state machine.
 
-    frames: clip, frame, player_id and team of the player within reach (null: nobody), out (the ball left the pitch). Frames of a clip must
-    come in order; those at or before the last one seen are dropped. from_player_id is the receiver of a pass and the other side of a change.
+    frames: clip, frame, player_id and team of the player within reach (null: nobody; null team: unknown), out (the ball left the pitch), and optionally
+    confidence and contested (another player is about as near). Frames of a clip must come in order; those at or before the last one seen are dropped.
+    from_player_id is the receiver of a pass and the other side of a change. In a stream a clip without new frames for idle_ms is forgotten.
     """
     if not frames.isStreaming:
         return frames.groupBy("clip").applyInPandas(lambda key, rows: _run(int(key[0]), rows, _Machine(None, hold)), _HOLDS)
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         machine = _Machine(state.get if state.exists else None, hold)
-        rows = pd.concat(list(batches))
-        found = _run(int(key[0]), rows, machine)
+        found = _run(int(key[0]), pd.concat(list(batches)), machine)
         state.update(machine.state)
+        state.setTimeoutDuration(idle_ms)
         yield found
 
-    return frames.groupBy("clip").applyInPandasWithState(advance, _HOLDS, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return frames.groupBy("clip").applyInPandasWithState(advance, _HOLDS, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
 
+_SMOOTHED = "clip long, frame long, homography array<array<double>>, confidence double, status string"
+_CARRY = "held array<array<double>>, sure double, carried long, last_frame long"
 
-def smoothed_homographies(frames: DataFrame, alpha: float = 0.4, most_carried: int = 10, decay: float = 0.9) -> DataFrame:
+
+def smoothed_homographies(frames: DataFrame, alpha: float = 0.4, most_carried: int = 10, decay: float = 0.9, idle_ms: int = IDLE_MS) -> DataFrame:
     """Exponential mean of homographies, carried for at most most_carried frames without one, with fading confidence.
 
-    frames: clip, frame, homography (array of rows or null), confidence. Adds status fresh, smoothed, carried or absent.
+    frames: clip, frame, homography (array of rows or null), confidence. Adds status fresh, smoothed, carried or absent. In a stream the mean goes on
+    from file to file: frames of a clip must come in order, those at or before the last one seen are dropped, and a clip without new frames for idle_ms is forgotten.
     """
-    schema = "clip long, frame long, homography array<array<double>>, confidence double, status string"
 
-    def smooth(rows: pd.DataFrame) -> pd.DataFrame:
-        held, sure, carried, out = None, 0.0, 0, []
-        for _, r in rows.sort_values("frame").iterrows():
+    def smooth(rows: pd.DataFrame, state: tuple) -> tuple[pd.DataFrame, tuple]:
+        held, sure, carried, last = state
+        held = None if held is None else [[float(v) for v in row] for row in held]
+        out = []
+        for _, r in rows[rows["frame"] > last].sort_values("frame").iterrows():
             if r["homography"] is not None:
                 h = [[float(v) / float(r["homography"][2][2]) for v in row] for row in r["homography"]]
                 status = "fresh" if held is None else "smoothed"
@@ -133,7 +173,21 @@ def smoothed_homographies(frames: DataFrame, alpha: float = 0.4, most_carried: i
                 carried, sure, status = carried + 1, sure * decay, "carried"
             else:
                 held, sure, status = None, 0.0, "absent"
-            out.append((int(r["clip"]), int(r["frame"]), held, sure, status))
-        return pd.DataFrame(out, columns=["clip", "frame", "homography", "confidence", "status"])
+            last = int(r["frame"])
+            out.append((int(r["clip"]), last, held, sure, status))
+        return pd.DataFrame(out, columns=["clip", "frame", "homography", "confidence", "status"]), (held, sure, carried, last)
+
+    start = (None, 0.0, 0, -1)
+    if not frames.isStreaming:
+        return frames.groupBy("clip").applyInPandas(lambda rows: smooth(rows, start)[0], _SMOOTHED)
+
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        found, after = smooth(pd.concat(list(batches)), state.get if state.exists else start)
+        state.update(after)
+        state.setTimeoutDuration(idle_ms)
+        yield found
 
-    return frames.groupBy("clip").applyInPandas(smooth, schema)
+    return frames.groupBy("clip").applyInPandasWithState(advance, _SMOOTHED, _CARRY, "append", GroupStateTimeout.ProcessingTimeTimeout)
