@@ -299,11 +299,15 @@ def _sample(docs: DataFrame, labels: DataFrame, folds: int, held: int) -> DataFr
 
 
 def _bounded(found: DataFrame) -> DataFrame:
-    """Of the sample, whole documents up to MOST_BYTES of either label in hashed order, one at least."""
-    order = Window.partitionBy("label").orderBy(F.xxhash64(F.lit("bytes"), "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    few = found.select("doc_id", "label", "size").withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))  # 2 * MOST_DOCUMENTS ids
-    few = few.groupBy("doc_id").agg(F.max(F.col("before") + F.col("size")).alias("to"), F.min("before").alias("from"))
-    return found.join(F.broadcast(few.where((F.col("to") <= MOST_BYTES) | (F.col("from") == 0)).select("doc_id")), "doc_id").select("text", "label", "fold")
+    """Of the sample, whole documents up to MOST_BYTES of either label in hashed order, one at least. At most 2 * MOST_DOCUMENTS sizes come to the driver."""
+    used, kept = [0, 0], []
+    place = F.xxhash64(F.lit("bytes"), "doc_id")
+    for _, doc_id, label, size in sorted(found.select(place, "doc_id", "label", "size").collect()):
+        if not used[label] or used[label] + size <= MOST_BYTES:
+            kept.append((doc_id,))
+        used[label] += size
+    ids = found.sparkSession.createDataFrame(kept, "doc_id long")
+    return found.join(F.broadcast(ids), "doc_id").select("text", "label", "fold")
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int, held: int) -> tuple[Model, np.ndarray, np.ndarray]:
