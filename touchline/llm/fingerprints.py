@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.ordering import bounds, range_of
+from touchline.llm.ordering import bounds, held, range_of
 
 EXACT, WIDE = 16, 64
 _BOTH, _LOW = 0x0000000100000001, 0xFFFFFFFF
@@ -113,12 +113,12 @@ def in_order(docs: DataFrame) -> DataFrame:
     own = range_of("doc_id", bounds(docs.select("doc_id"), "doc_id", RANGE_ROWS))
     tops = _tops(docs.select("doc_id"), own)
     lower = {above[0]: below[1] for below, above in zip(tops[:-1], tops[1:], strict=True)}
-    into = {top: r for r, top in lower.items()}
+    into = sorted((top, r) for r, top in lower.items() if top is not None)
     homes = F.array(F.struct(own.alias("range"), F.lit(0).alias("copy")))
     first, last = (tops[-1][1], tops[0][0]) if tops else (None, 0)
     if into:
-        above = F.from_json(F.lit("{" + ",".join(f'"{k}":{v}' for k, v in into.items()) + "}"), "map<string,int>")
-        up = F.element_at(above, F.col("doc_id").cast("string"))
+        up = range_of("doc_id", [top for top, _ in into])
+        up = F.when(F.get(held([top for top, _ in into]), up) == F.col("doc_id"), F.get(held([r for _, r in into]), up).cast("int"))
         homes = F.when(up.isNotNull(), F.concat(homes, F.array(F.struct(up.alias("range"), F.lit(1).alias("copy"))))).otherwise(homes)
     around = F.col("doc_id").isNull() if first is None else F.col("doc_id") == first
     homes = F.when(around, F.concat(homes, F.array(F.struct(F.lit(last).alias("range"), F.lit(2).alias("copy"))))).otherwise(homes)
