@@ -23,8 +23,9 @@ from touchline.llm.components import components
 
 #: Pivots grow with the root of the number of vectors, up to MOST_PIVOTS, which bounds what each task holds. They come from a hashed sample of the vectors of
 #: OVERSAMPLE times as many; one that has a cosine of APART or more with an earlier one is passed over, else a dense group would hold many of them, and
-#: which of those are its members' nearest would be chance.
-LEAST_PIVOTS, MOST_PIVOTS, OVERSAMPLE, APART = 64, 4096, 4, 0.7
+#: which of those are its members' nearest would be chance. Where that leaves less than half of the pivots, because all vectors are near one another, the limit goes
+#: half the way to 1, up to TRIES times.
+LEAST_PIVOTS, MOST_PIVOTS, OVERSAMPLE, APART, TRIES = 64, 4096, 4, 0.7, 5
 #: Nearest pivots that describe a vector, and how many two vectors must share.
 NEAREST, SHARED = 10, 4
 #: Entries of a block of a list.
@@ -51,11 +52,16 @@ def _spread(x: np.ndarray, k: int) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)
     x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
     out = np.empty((k, x.shape[1]))
-    n = 0
-    for v in x:
-        if n < k and (not n or (out[:n] @ v).max() < APART):
-            out[n] = v
-            n += 1
+    apart = APART
+    for _ in range(TRIES):
+        n = 0
+        for v in x:
+            if n < k and (not n or (out[:n] @ v).max() < apart):
+                out[n] = v
+                n += 1
+        if 2 * n >= min(k, len(x)):
+            break
+        apart = (1 + apart) / 2
     return out[:n]
 
 
