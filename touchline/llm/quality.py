@@ -51,7 +51,7 @@ def features(text: bytes) -> list[float]:
     ends = text.count(b". ") + text.count(b".\n") + text.endswith(b".")
     return [
         float(np.log1p(len(text))), float(np.log1p(len(words))), len(text) / k, float((lengths > 20).sum()) / k, kinds[1], kinds[2], kinds[3], kinds[4], kinds[5], kinds[6],
-        kinds[7], len(distinct) / k, max(counts.values(), default=0) / k, 1 - pairs / max(len(words) - 1, 1), len(set(lines)) / max(len(lines), 1), ends / k, float(_WORD_ENDS[last].sum()) / k, float((lengths <= 2).sum()) / k, kinds[9], float(np.log1p(len(text) / max(len(lines), 1))),
+        kinds[7], len(distinct) / k, max(counts.values(), default=0) / k, 1 - pairs / (len(words) - 1) if len(words) > 1 else 0.0, len(set(lines)) / max(len(lines), 1), ends / k, float(_WORD_ENDS[last].sum()) / k, float((lengths <= 2).sum()) / k, kinds[9], float(np.log1p(len(text) / max(len(lines), 1))),
     ]
 
 

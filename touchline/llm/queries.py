@@ -29,6 +29,7 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts under Zipf scores of the file's pieces, as it holds merge ranks and no probabilities: not the counts of its own merges."""
     return token_counts.count(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 

@@ -1,7 +1,7 @@
 """Reliable intermediate tables in the folder that the cluster shares.
 
-``spark.checkpoint.dir`` names the folder. Where it is unset (tests, a laptop)
-a temporary folder of this process is used and removed at exit.
+``spark.checkpoint.dir`` names the folder. Where it is unset and Spark runs in this process alone (tests, a laptop),
+a temporary folder is used and removed at exit; on a cluster an unset folder is an error.
 """
 
 from __future__ import annotations
@@ -10,10 +10,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_made: dict[str, DataFrame] = {}
 #: Removes a query's shuffle files when that query ends, instead of whenever the driver collects garbage.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -23,6 +26,8 @@ def root(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="touchline-")
         atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
@@ -47,12 +52,25 @@ def table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
             spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._touchline_path = path
+    _made[path] = out
     return out
 
 
 def drop(df: DataFrame) -> None:
     """Remove the files of a table() that nothing reads any more."""
     path = df._touchline_path
+    _made.pop(path, None)
     jvm = df.sparkSession._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def passing() -> Iterator[set[str]]:
+    """Drops at its end the tables made within, but those whose paths are added to the set: what still reads them must have been written."""
+    before, keep = set(_made), set()
+    try:
+        yield keep
+    finally:
+        for path in set(_made) - before - keep:
+            drop(_made[path])
