@@ -59,8 +59,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the table documents: the packed pieces."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES) - 1:
-            docs = scratch.table(docs, f"stage-{number}")
-    return docs
+    before = None
+    for number, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch.passing() as keep:
+            docs = scratch.table(stage(spark, docs, sf_dir), f"stage-{number}")
+            keep.add(docs._touchline_path)
+        if before is not None:
+            scratch.drop(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
