@@ -42,8 +42,8 @@ PARTS = 24
 #: The score's column where documents' own columns are kept.
 SCORE = "touchline_score"
 THRESHOLD = 0.7
-#: Words that a task remembers, and letters of a text that are cut into words at a time.
-KEPT, CHUNK = 200_000, 1 << 20
+#: Words that a task remembers; letters of a text that are cut into words at a time; words that are looked up at a time.
+KEPT, CHUNK, AT_ONCE = 200_000, 1 << 20, 1 << 15
 FEATURES = 4
 _WORD = re.compile(r"[^\W\d_]+")
 _GAP = re.compile(r"[\W\d_]")
@@ -176,7 +176,7 @@ class Evidence:
             for part in words(text):
                 held.append((i, part))
                 size += len(part)
-                if size > CHUNK // 8:
+                if size > AT_ONCE:
                     rate()
                     size = 0
         rate()
