@@ -66,4 +66,25 @@ QUERIES = {
     "op10_mixing_sources": op10_mixing_sources,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_REACH = """
+reach as (select a as id, b as other from links union select r.id, l.b from reach r join links l on l.a = r.other),
+component as (select id, least(id, min(other)) as component_id from reach group by id)
+"""
+
+#: By all pairs, for tables on which that can be run.
+ORACLE_SQL: dict[str, str] = {
+    "op4_ngram_jaccard_join": r"""
+with recursive words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (select doc_id, case when len(w) = 0 then []::varchar[] when len(w) < 3 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as s from words),
+entries as (select doc_id, len(s) as n, unnest(s) as token from sets),
+links as (select x.doc_id as a, y.doc_id as b from entries x join entries y on x.token = y.token and x.doc_id <> y.doc_id where 100 * least(x.n, y.n) >= 90 * greatest(x.n, y.n) group by x.doc_id, y.doc_id, x.n, y.n having 100 * count(*) >= 90 * (x.n + y.n - count(*))),
+"""
+    + _REACH
+    + "select s.doc_id, len(s.s) as n_shingles, coalesce(c.component_id, s.doc_id) as component_id from sets s left join component c on c.id = s.doc_id",
+    "op8_embedding_near_dedup": """
+with recursive v as (select vec_id, label, embedding::double[] as e from embeddings where label is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.93),
+"""
+    + _REACH
+    + ", n as (select a, count(*) as n from links group by a) select e.vec_id, coalesce(n.n, 0) as n_links, coalesce(c.component_id, e.vec_id) as component_id, coalesce(c.component_id, e.vec_id) = e.vec_id as kept from embeddings e left join n on n.a = e.vec_id left join component c on c.id = e.vec_id",
+}
