@@ -191,7 +191,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("clip", "a", "b", F.round(V.number_llr(F.col("la"), F.col("lb"), prior), 4).alias("llr"))
 
 
-@query("thread_states")
+@query("thread_states", "with ft as (select vec_id // 40 as clip, vec_id % 40 * 25 as start, vec_id % 40 * 25 + 10 + vec_id * 7 % 30 as stop, label::bigint as label, embedding::double[] as v from embeddings), m as (select clip, label, i, avg(x) as m from (select clip, label, unnest(v) as x, generate_subscripts(v, 1) as i from ft) group by all), l as (select clip, label, sqrt(sum(m * m)) as l from m group by all), s as (select clip, label, round(sum(m / l * (m / l)), 5) as norm from m join l using (clip, label) group by all) select clip, label, sum(stop - start + 1)::bigint as n_frames, count(*) as n_fragments, min(start) as first_start, max(stop) as last_end, max(stop) / 1000 as exit_x, min(start) / 1000 as entry_x, count(v) as n_embedded, any_value(norm) as norm from ft join s using (clip, label) group by clip, label")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     rows = S.features(spark, sf).withColumns({"n_frames": F.col("end") - F.col("start") + 1, "exit_x": F.col("end") / 1000, "exit_y": F.lit(0.5), "entry_x": F.col("start") / 1000, "entry_y": F.lit(0.5)})
     out = V.thread_states(rows, ["clip", "label"])

@@ -61,7 +61,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return R.transition_events(S.possessors(spark, sf))
 
 
-@query("possession_smoothed")
+@query("possession_smoothed", ", near as (select clip, frame, coalesce(possessor, -1) as own, list(coalesce(possessor, -1)) over (partition by clip order by frame rows between 2 preceding and 2 following) as near from poss), votes as (select *, list_transform(near, lambda x: len(list_filter(near, lambda y: y = x))) as n from near) select clip, frame, nullif(case when len(list_filter(near, lambda y: y = own)) = list_max(n) then own else near[list_position(n, list_max(n))] end, -1) as possessor from votes", _ROWS.rstrip())
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return R.smoothed(S.possessors(spark, sf))
 
@@ -85,7 +85,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return R.fragments(S.true_boxes(spark, sf), "gt_id", 1, 2)
 
 
-@query("observable_spans")
+@query("observable_spans", 'select clip, gt_id, min(frame) as start, max(frame) as "end" from (select *, sum((step is null or step > 3)::int) over (partition by clip, gt_id order by frame) as run from f0) group by clip, gt_id, run', _ROWS + _FRAGMENTS)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return R.observable_spans(S.true_boxes(spark, sf), "gt_id")
 
@@ -343,12 +343,15 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return P.merge_curve(P.mutual_best(_scored(spark, sf)))
 
 
-@query("budget_curve")
+_COUNTS = "(select t as threshold, count(*) filter (same) as correct, count(*) filter (not same) as wrong from mb, (values (0.0::double), (0.2::double), (0.3::double), (0.4::double)) v(t) where score >= t group by t)"
+
+
+@query("budget_curve", f"select budget, coalesce(correct, 0) as correct, coalesce(wrong, 0) as wrong, threshold from (values (0), (10), (100), (1000)) b(budget) left join (select budget, c.*, row_number() over (partition by budget order by correct desc, wrong, threshold) as place from {_COUNTS} c, (values (0), (10), (100), (1000)) b(budget) where wrong <= budget) using (budget) where coalesce(place, 1) = 1", _PAIRS)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return P.budget_curve(P.merge_counts(P.mutual_best(_scored(spark, sf)), [0.0, 0.2, 0.3, 0.4]), [0, 10, 100, 1000])
 
 
-@query("error_overlap")
+@query("error_overlap", "select count(*) as n_a, count(*) filter (clear) as n_b, count(*) filter (clear) as n_shared, round(coalesce(count(*) filter (clear) / nullif(count(*), 0), 0), 4) as jaccard, count(*) filter (not clear) as only_a, 0::bigint as only_b from (select least(coalesce(x.margin, 1e300), coalesce(y.margin, 1e300)) >= 0.02 as clear from rk x join rk y on y.clip = x.clip and y.item = x.partner and y.partner = x.item and y.rank = 1 where x.rank = 1 and x.item < x.partner and not x.same)", _PAIRS)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     scored = _scored(spark, sf)
     return P.error_overlap(P.mutual_best(scored), P.mutual_best(scored, 0.02))
@@ -370,12 +373,15 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return P.retrieval(_scored(spark, sf))
 
 
-@query("retrieval_summary")
+_OUTCOMES = "(select clip, item, count(*) as n, bool_or(same) filter (rank = 1) as top1, round(avg(hits / rank) filter (same), 6) as ap from rk group by clip, item having sum(same::int) > 0)"
+
+
+@query("retrieval_summary", f"select count(*) as n_scored, round(avg(top1::int), 4) as rank1, round(avg(ap), 4) as map from {_OUTCOMES}", _PAIRS)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return P.retrieval_summary(P.retrieval(_scored(spark, sf)))
 
 
-@query("retrieval_breakdown")
+@query("retrieval_breakdown", f"select case when n < 5 then 'few' when n < 12 then 'some' else 'many' end as bin, count(*) as n, round(avg(top1::int), 4) as rank1 from {_OUTCOMES} o group by 1", _PAIRS)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return P.retrieval_breakdown(P.retrieval(_scored(spark, sf)), [("few", 0, 5), ("some", 5, 12), ("many", 12, 1e9)])
 
