@@ -216,9 +216,10 @@ def tier_one(chained: DataFrame, value: Callable[[DataFrame], DataFrame], pitch:
     parts = [shots, passing(chained, pitch), progression(chained, pitch), _creation_by_half(chained, valued), duels.take_ons_by_player(chained), duels.duels_by_player(chained), duels.balls_by_player(chained, pitch)]
     out = parts[0]
     for part in parts[1:]:
-        out = out.join(part, PLAYER, "full_outer")
+        out = out.unionByName(part, allowMissingColumns=True)
     counts = [c for c in out.columns if c not in PLAYER]
-    return out.select(*PLAYER, *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in counts), F.lit(None).cast("long").alias("gca"))
+    # A part has one row a player at most, and no column of another part: all meet in one shuffle.
+    return out.groupBy(*PLAYER).agg(*(F.coalesce(F.max(c), F.lit(0)).alias(c) for c in counts), F.lit(None).cast("long").alias("gca"))
 
 
 def headline(sheet: DataFrame) -> DataFrame:

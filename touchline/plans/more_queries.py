@@ -20,6 +20,7 @@ from touchline.operators import tracker as T
 from touchline.operators.pairs import both_ways
 from touchline.plans import stages
 from touchline.plans.match_queries import _EVENTS, GAP, chained
+from touchline.plans.match_queries import ORACLE_SQL as MATCH_SQL
 from touchline.sources import files, simulate
 from touchline.sources import tracking as S
 from touchline.sources.matches import match_events
@@ -527,7 +528,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return L.class_counts(S.labelled_actions(spark, sf).where("event_id % 3 = 0"))  # as the SQL does
 
 
-@query("tier_one_abstentions")
+@query("tier_one_abstentions", f"select match_id, half, p.* exclude (match_id, half), g.skipped_no_actor as moves_no_actor, g.skipped_no_end as moves_no_end, g.* exclude (match_id, half, skipped_no_actor, skipped_no_end) from ({MATCH_SQL['passing_exclusions']}) p full join ({MATCH_SQL['progression_exclusions']}) g using (match_id, half)")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return L.abstentions(chained(spark, sf))
 

@@ -243,7 +243,14 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return E.purity_summary(E.tracklet_purity(S.detections(spark, sf), S.true_boxes(spark, sf)))
 
 
-@query("tracklet_segments")
+@query(
+    "tracklet_segments",
+    """, d0 as (select *, frame - lag(frame) over (partition by clip, tracklet_id order by frame) as step from dets), d1 as (select *, sum((step is null or step > 12)::int) over (partition by clip, tracklet_id order by frame) as run from d0),
+  z as (select clip, tracklet_id, run, min(frame) as start, max(frame) as stop from d1 group by all having count(*) >= 5), vo as (select d1.clip, d1.tracklet_id, d1.run, b.gt_id, count(*) as n from d1 join best b on b.det_id = d1.det_id group by all),
+  tp as (select *, sum(n) over (partition by clip, tracklet_id, run)::bigint as matched, row_number() over (partition by clip, tracklet_id, run order by n desc, gt_id) as place from vo)
+  select clip, tracklet_id, start, stop as "end", gt_id, tp.n as frames, matched from z join tp using (clip, tracklet_id, run) where place = 1""",
+    (_ROWS + _BEST).rstrip(),
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return E.tracklet_segments(S.detections(spark, sf), S.true_boxes(spark, sf))
 
