@@ -99,3 +99,24 @@ def benchmark_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem")
     role = F.when(F.col("l_linenumber") % 2 == 0, "test").otherwise("tuning")
     return rows.select(F.concat("l_returnflag", "l_linestatus").alias("candidate"), (F.col("l_suppkey") % 10).alias("sequence"), role.alias("role"), F.lit("quantity").alias("metric"), F.col("l_quantity").alias("value"))
+
+
+def half_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a position table as touchline.sources.halves names them: two clips are a game, ten players a frame, every second half of a clip with substitutes; some have no role, a role too high, no shirt, no box or no label."""
+    rows = _events(spark, sf_dir)
+    e, who, late = F.col("e"), F.col("e") % 10, F.floor(F.col("at") / 200).cast("long")
+    number = who % 5 + 1 + late * 10
+    half = F.concat(F.lit("game_"), F.floor(F.col("clip") / 2).cast("string"), F.lit("_H"), (F.col("clip") % 2 + 1).cast("string"))
+    seen = lambda v: F.when(e % 3 != 0, v.cast("double"))
+    return rows.select(
+        half.alias("half_key"), e.alias("row"), F.floor(F.col("at") / 10).cast("long").alias("frame"), ((F.floor(who / 5) + 1) * 100 + number).cast("long").alias("player_id"), F.floor(who / 5).cast("int").alias("side"),
+        F.when(e % 7 != 0, number).alias("shirt"), F.when(e % 41 != 0, F.when(e % 43 == 0, 14).otherwise(who % 5 * 3 + 1)).cast("int").alias("role"),
+        seen(e * 7 % 1800).alias("roi_x"), seen(e * 5 % 1000).alias("roi_y"), seen(F.lit(30)).alias("roi_w"), seen(F.lit(90)).alias("roi_h"), F.when(e % 29 != 0, e % 9).cast("int").alias("class_id"),
+    )
+
+
+def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clip, gt_id, role, team, jersey of the true boxes' subjects; one has a letter for a number, one is a referee."""
+    rows = true_boxes(spark, sf_dir).select("clip", "gt_id").distinct()
+    role = F.when(F.col("gt_id") == 3, "referee").when(F.col("gt_id") == 2, "goalkeeper").otherwise("player")
+    return rows.select("clip", "gt_id", role.alias("role"), F.when(F.col("gt_id") % 2 == 0, "left").otherwise("right").alias("team"), F.when((F.col("gt_id") == 1) & (F.col("clip") % 2 == 0), "A").otherwise((F.col("gt_id") + 7).cast("string")).alias("jersey"))
