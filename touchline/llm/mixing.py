@@ -12,9 +12,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from touchline.llm import scratch
+
 #: A mean over this is drawn as a sum of equal Poisson numbers below it, each from its own hash: exact, and tables stay short.
 LARGEST_MEAN = 8.0
-#: Sources up to this number are joined by broadcast.
+#: The largest sources, up to this number, are joined by broadcast; of the others none has more than this part of the bytes.
 BROADCAST_SOURCES = 10_000
 
 
@@ -37,13 +39,13 @@ def _cumulative(mean: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None, by: str, total: int | None) -> DataFrame:
-    """(source, rate, parts, cumulative): how often each source's documents are to be read on average.
+    """(source, size, rate, parts, cumulative): how often each source's documents are to be read on average.
 
     A source's share of the mix is its weight over the weights' sum, in bytes of text plus one a document; weights None gives each
     source the same. The mix has `total` such bytes, None as many as the sources in the mix have. Sources without a weight get 0.
     """
     size = F.octet_length(F.coalesce("text", F.lit(""))) + F.lit(1).cast("long")
-    sizes = docs.groupBy(F.col(by).alias("source")).agg(F.sum(size).alias("size"))
+    sizes = scratch.table(docs.groupBy(F.col(by).alias("source")).agg(F.sum(size).alias("size")), "sources")  # read below more than once
     weight = F.lit(1.0)
     if weights is not None:
         table = docs.sparkSession.createDataFrame([*weights.items()] or [(None, 0.0)], "weighted string, weight double")  # what the caller gave
@@ -53,7 +55,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, by: str, total: int
     all_weight, all_size = sizes.where("weight > 0").agg(F.sum("weight"), F.sum("size")).first()
     goal = total if total is not None else all_size or 0
     rate = F.when(F.col("weight") > 0, F.col("weight") / F.lit(all_weight or 1.0) * F.lit(float(goal)) / F.col("size")).otherwise(F.lit(0.0))
-    sizes = sizes.select("source", rate.alias("rate")).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / LARGEST_MEAN)).cast("int"))
+    sizes = sizes.select("source", "size", rate.alias("rate")).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / LARGEST_MEAN)).cast("int"))
     return sizes.withColumn("cumulative", _cumulative(F.col("rate") / F.col("parts")))
 
 
@@ -65,13 +67,19 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, by: str = "sou
     rows. Output partitions are parts of one random order: each row's place depends on the seed and the row alone. Columns may have any names
     but ones that begin with `_mix_`.
     """
-    found = rates(docs, weights, by, total).select(F.col("source").alias("_mix_source"), "parts", "cumulative")
+    found = rates(docs, weights, by, total).select(F.col("source").alias("_mix_source"), "size", F.struct("parts", "cumulative").alias("_mix_table"))
     table = F.col("_mix_table")
-    found = found.select("_mix_source", F.struct("parts", "cumulative").alias("_mix_table"))
-    few = found.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     own = F.coalesce(F.col("text"), F.lit(""))
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"), own)
-    joined = docs.withColumn("_mix_key", key).join(F.broadcast(found) if few else found, F.col(by).eqNullSafe(F.col("_mix_source")))
+    keyed = docs.withColumn("_mix_key", F.xxhash64(F.lit(seed), F.col("doc_id"), own))
+    same = F.col(by).eqNullSafe(F.col("_mix_source"))
+    if found.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        joined = keyed.join(F.broadcast(found.drop("size")), same)
+    else:
+        # A large source never meets its rate in one task: only the rows of the others are dealt by source.
+        large = found.orderBy(F.col("size").desc(), "_mix_source").limit(BROADCAST_SOURCES).drop("size")
+        names = large.select("_mix_source")
+        others = found.drop("size").join(F.broadcast(names.withColumnRenamed("_mix_source", "_mix_large")), F.col("_mix_source").eqNullSafe(F.col("_mix_large")), "left_anti")
+        joined = keyed.join(F.broadcast(large), same).unionByName(keyed.join(F.broadcast(names), same, "left_anti").join(others, same))
     uniforms = F.transform(F.sequence(F.lit(1), table["parts"]), lambda part: _uniform(F.col("_mix_key"), F.lit("count"), part))
     drawn = F.aggregate(uniforms, F.lit(0), lambda n, u: n + F.size(F.filter(table["cumulative"], lambda c: c <= u)))
     copies = joined.withColumn("_mix_count", drawn).where("_mix_count > 0")
