@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from touchline.llm import memory
+
 BLOCK_BYTES = 8 << 20
 PART_BYTES = 6 << 20
 _SENT = "space int, part int, block int, keys binary, counts binary"
@@ -97,6 +99,7 @@ def totals(blocked: DataFrame, keys_of: KeysOf, parts: int) -> DataFrame:
     """
 
     def send(key: tuple, block: pa.Table) -> pa.Table:
+        memory.release()  # what the group before has freed
         rows: dict[str, list] = {x: [] for x in ("space", "part", "block", "keys", "counts")}
         for space, (keys, counts) in enumerate(keys_of(block)):
             cuts = _cuts(keys, parts)
@@ -110,6 +113,7 @@ def totals(blocked: DataFrame, keys_of: KeysOf, parts: int) -> DataFrame:
         return pa.table(rows, schema=_arrow(_SENT))
 
     def add(key: tuple, sent: pa.Table) -> pa.Table:
+        memory.release()  # what the group before has freed
         space, part = (x.as_py() for x in key)
         keys = [unpack_sorted(x.as_py()) for x in sent.column("keys")]
         ends = np.cumsum([0] + [len(x) for x in keys])
@@ -161,6 +165,7 @@ def with_totals(blocked: DataFrame, found: DataFrame, use: Callable[[pa.Table, l
     """Apply use(block, totals of each key space in the block's key order) to each block."""
 
     def apply(key: tuple, block: pa.Table, rows: pa.Table) -> pa.Table:
+        memory.release()  # what the group before has freed
         if not len(block):
             return pa.table({x.name: [] for x in _arrow(schema)}, schema=_arrow(schema))
         by = sorted(zip(rows.column("space").to_pylist(), rows.column("part").to_pylist(), rows.column("totals").to_pylist(), strict=True), key=lambda x: x[:2])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm import blocks, scratch
+from touchline.llm import blocks, memory, scratch
 from touchline.llm.words import _BASE, END, START, hash_words, mix, unique
 
 _STEPS, _BUCKETS, _TOP = 4, 48, 255
@@ -157,7 +157,7 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
             kept = {x: batch.column(x) for x in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")}
             yield pa.record_batch(kept | {"score": pa.array(scores, pa.float64())})
 
-    rated = looked.where("kind = 0").mapInArrow(rate, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    rated = looked.where("kind = 0").mapInArrow(memory.released(rate), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return rated.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
@@ -195,7 +195,7 @@ def _learn(looked: DataFrame) -> np.ndarray:
             for code, n in zip(batch.column("words"), batch.column("pairs"), strict=True):
                 yield pa.record_batch({"code": blocks.unpack(code.as_py(), np.int64), "n": blocks.unpack(n.as_py(), np.int64)})
 
-    cells = looked.where("kind = 1").select("words", "pairs").mapInArrow(unroll, "code long, n long")
+    cells = looked.where("kind = 1").select("words", "pairs").mapInArrow(memory.released(unroll), "code long, n long")
     rows = cells.groupBy("code").agg(F.sum("n").alias("n")).toPandas()
     code, n = rows["code"].to_numpy(dtype=np.int64), rows["n"].to_numpy(dtype=np.int64)
     width = _TOP + 1

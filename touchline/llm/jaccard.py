@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm import blocks, scratch
+from touchline.llm import blocks, memory, scratch
 from touchline.llm.components import components
 from touchline.llm.words import hash_words, mix, shingles
 
@@ -125,7 +125,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, salts: int) -> Da
                 keep.append(100 * both_n >= percent * (len(s) + len(t) - both_n))
             yield pa.record_batch([batch.column(c) for c in ("a", "b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    out = both.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), "members_a", "members_b").mapInArrow(check, "a long, b long")
+    out = both.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), "members_a", "members_b").mapInArrow(memory.released(check), "a long, b long")
     out = scratch.table(out.where("a <> b"), "links")
     scratch.drop(light)
     return out

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.llm import scratch
+from touchline.llm import memory, scratch
 
 #: Beyond these characters two libraries' Unicode classes may differ, and texts go to the tokenizer itself.
 _RARE = re.compile("[^\\t\\n\\r -\\x7e\\xa1-\\u024f\\u2010-\\u2027]")
@@ -218,7 +218,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
             yield pa.record_batch([pa.array(rows["doc_id"], pa.int64()), pa.array(rows["piece"], pa.int32()), *(pa.array(rows[x], pa.int64()) for x in ("start", "length", "ids_crc32"))], names=list(rows))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return texts.mapInArrow(encode, _PIECES)
+    return texts.mapInArrow(memory.released(encode), _PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
@@ -255,4 +255,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2)
             kept = {x: batch.column(x) for x in ("doc_id", "piece", "start", "length", "ids_crc32")}
             yield pa.record_batch(kept | {"sequence_id": pa.array(found[:, 3] + rank - found[:, 1]), "offset": pa.array(found[:, 4])})
 
-    return ranked.mapInArrow(place, f"{_PIECES}, sequence_id long, offset long")
+    return ranked.mapInArrow(memory.released(place), f"{_PIECES}, sequence_id long, offset long")

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.llm import memory
 from touchline.llm.sampling import labelled, remainder
 
 #: At most so many documents of either label are learned from.
@@ -192,7 +193,7 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int, held: int) -> Model:
             x = _described(batch, "text")
             yield pa.record_batch([*(pa.array(x[:, i]) for i in range(x.shape[1])), batch.column("label"), batch.column("doc_id")], names=[*FEATURES, "label", "doc_id"])
 
-    rows = sample.mapInArrow(describe, ", ".join(f"{x} double" for x in FEATURES) + ", label int, doc_id long").toPandas().sort_values(["doc_id", *FEATURES])
+    rows = sample.mapInArrow(memory.released(describe), ", ".join(f"{x} double" for x in FEATURES) + ", label int, doc_id long").toPandas().sort_values(["doc_id", *FEATURES])
     x, y = rows[FEATURES].to_numpy(), rows["label"].to_numpy(dtype=float)
     return fit(x, y)
 
@@ -208,7 +209,7 @@ def scored(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, ke
             p = model.score(_described(batch, "text"))
             yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(p, pa.float64())], names=[*keep, SCORE])
 
-    return read.mapInArrow(rate, read.select(*(F.col(f"`{c}`") for c in keep)).schema.add(SCORE, "double"))
+    return read.mapInArrow(memory.released(rate), read.select(*(F.col(f"`{c}`") for c in keep)).schema.add(SCORE, "double"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.llm import scratch
+from touchline.llm import memory, scratch
 from touchline.llm.sampling import labelled, remainder
 from touchline.llm.words import mix
 
@@ -204,7 +204,7 @@ def counts(sample: DataFrame) -> DataFrame:
                 part = rows[at : at + 50_000]
                 yield pa.record_batch({"gram": pa.array([g for g, _ in part])} | {name: pa.array([x[k] for _, x in part], pa.int64()) for k, name in enumerate(names)})
 
-    rows = sample.select("text", "label", "fold").mapInArrow(count, "gram string, " + ", ".join(f"{x} long" for x in names))
+    rows = sample.select("text", "label", "fold").mapInArrow(memory.released(count), "gram string, " + ", ".join(f"{x} long" for x in names))
     return rows.groupBy("gram").agg(*(F.sum(x).alias(x) for x in names))
 
 
@@ -265,7 +265,7 @@ def _collected(rows: DataFrame) -> dict[str, Model]:
             keys = key_of(batch.column("key").to_pylist()).view(np.int64)
             yield pa.record_batch([batch.column("kind"), pa.array(keys), *(batch.column(x).cast(pa.float32()) for x in names)], names=["kind", "key", *names])
 
-    table = rows.mapInArrow(hashed, "kind int, key long, " + ", ".join(f"{x} float" for x in names)).toArrow()
+    table = rows.mapInArrow(memory.released(hashed), "kind int, key long, " + ", ".join(f"{x} float" for x in names)).toArrow()
     parts = []
     for kind in (0, 1):
         own = table.filter(pa.compute.equal(table.column("kind"), kind))
@@ -328,7 +328,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int, held: int) -> tuple[Mode
                 yield pa.record_batch({f"x{i}": pa.array(x[:, i]) for i in range(FEATURES)} | {"label": own.column("label")})
 
     names = [f"x{i}" for i in range(FEATURES)]
-    seen = sample.mapInArrow(weigh, ", ".join([*(f"{x} double" for x in names), "label int"])).toPandas().sort_values([*names, "label"])
+    seen = sample.mapInArrow(memory.released(weigh), ", ".join([*(f"{x} double" for x in names), "label int"])).toPandas().sort_values([*names, "label"])
     share.destroy()
     scratch.drop(held_sample)
     model = models["r"]
@@ -364,4 +364,4 @@ def scored(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, ke
             p = 1 / (1 + np.exp(-np.clip(x @ curve[:-1] + curve[-1], -30, 30)))
             yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(p, pa.float64())], names=[*keep, SCORE])
 
-    return read.mapInArrow(rate, read.select(*(F.col(f"`{c}`") for c in keep)).schema.add(SCORE, "double"))
+    return read.mapInArrow(memory.released(rate), read.select(*(F.col(f"`{c}`") for c in keep)).schema.add(SCORE, "double"))
