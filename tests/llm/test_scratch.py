@@ -5,7 +5,7 @@ import pathlib
 import numpy as np
 import pytest
 
-from touchline.llm import ordering, pivots, quality, sampling, scratch
+from touchline.llm import memory, ordering, pivots, quality, sampling, scratch
 
 
 class Elsewhere:
@@ -23,6 +23,13 @@ def test_a_cluster_must_name_its_folder():
         scratch.root(Elsewhere)
 
 
+def test_a_written_table_gives_the_drivers_memory_back(spark, monkeypatch):
+    said = []
+    monkeypatch.setattr(memory, "relieve", lambda s, f=memory.relieve: said.append(f(s)))
+    scratch.drop(scratch.table(spark.range(3), "first"))
+    assert len(said) == 1 and "rim native heap" in said[0]
+
+
 def test_passing_tables_go(spark):
     first = scratch.table(spark.range(3), "first")
     with scratch.passing() as keep:

@@ -15,6 +15,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from touchline.llm import memory
+
 _own: dict[str, str] = {}
 _made: dict[str, DataFrame] = {}
 #: Removes a query's shuffle files when that query ends, instead of whenever the driver collects garbage.
@@ -35,7 +37,7 @@ def root(spark: SparkSession) -> str:
 
 
 def table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write df as Parquet in the shared folder and return it, reread: lineage is cut.
+    """Write df as Parquet in the shared folder and return it, reread: lineage is cut, and the driver's memory that planning it took is given back.
 
     The files outlive lost executors. They stay until drop() or the end of the cluster's folder.
     """
@@ -50,6 +52,7 @@ def table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
             spark.conf.unset(_CLEANUP)
         else:
             spark.conf.set(_CLEANUP, before)
+    memory.relieve(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._touchline_path = path
     _made[path] = out
