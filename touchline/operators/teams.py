@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,10 @@ LEAST_DENOMINATOR = 10
 # Where the pressing zone begins, as a share of the pitch.
 PRESSING_ZONES = {"trainor": 0.4, "opta": 1 / 3}
 KEEPER_ROLE = 1
+# The primes of xxHash.
+_XX = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+#: Groups that a half's shuffles are dealt in; crosses times shuffles that are held at a time.
+TRIAL_PARTS, MOST_DEALT = 16, 1 << 18
 LENGTHS = [("short", 0.0, 1500.0), ("medium", 1500.0, 3000.0), ("long", 3000.0, float("inf"))]
 
 
@@ -152,20 +158,54 @@ def _crosses(events: DataFrame, pitch: G.Pitch) -> DataFrame:
     return rows.withColumns({"flag_distance": G.corner_flag_distance(F.col("x"), F.col("y"), pitch), "line_distance": G.touchline_distance(F.col("y"), pitch)})
 
 
+def _hash_long(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of longs after the hash `seed`, unsigned."""
+    turn = lambda v, k: v << np.uint64(k) | v >> np.uint64(64 - k)
+    h = seed + _XX[4] + np.uint64(8) ^ turn(x.view(np.uint64) * _XX[1], 31) * _XX[0]
+    h = turn(h, 27) * _XX[0] + _XX[3]
+    h = (h ^ h >> np.uint64(33)) * _XX[1]
+    h = (h ^ h >> np.uint64(29)) * _XX[2]
+    return h ^ h >> np.uint64(32)
+
+
 def corner_null_test(events: DataFrame, pitch: G.Pitch = G.FIFA, radius: float = 300.0, min_gap: float = MAX_GAP, permutations: int = 2000, seed: int = 0) -> DataFrame:
     """Is nearness to the flag tied to pauses? Distances are dealt anew within each half, by hashed order; p = (1 + shuffles at least as many) / (1 + shuffles).
 
-    baseline_p is the same for the distance to the touchline.
+    baseline_p is the same for the distance to the touchline. A half's crosses go to TRIAL_PARTS groups, each of which deals them for its share of
+    the shuffles, some at a time: no row is made for a cross and a shuffle.
     """
-    rows = _crosses(events, pitch).select("match_id", "half", "event_id", "gap", "flag_distance", "line_distance")
-    late = F.col("gap") > min_gap
-    observed = rows.agg(F.count("*").alias("n_crosses"), _n(F.col("flag_distance") <= radius).alias("n_within"), _n(late).alias("n_after_gap"), _n((F.col("flag_distance") <= radius) & late).alias("observed"), _n((F.col("line_distance") <= radius) & late).alias("baseline_observed"))
-    trials = rows.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    own = Window.partitionBy("match_id", "half", "trial").orderBy("event_id")
-    dealt = Window.partitionBy("match_id", "half", "trial").orderBy(F.xxhash64(F.lit(seed), "trial", "event_id"), "event_id")
-    left = trials.select("match_id", "half", "trial", "gap", F.row_number().over(own).alias("place"))
-    right = trials.select("match_id", "half", "trial", "flag_distance", "line_distance", F.row_number().over(dealt).alias("place"))
-    each = left.join(right, ["match_id", "half", "trial", "place"]).groupBy("trial").agg(_n((F.col("flag_distance") <= radius) & late).alias("n"), _n((F.col("line_distance") <= radius) & late).alias("b"))
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    rows = _crosses(events, pitch).select(
+        "match_id", "half", F.col("event_id").cast("long").alias("event_id"),
+        flag(F.col("gap") > min_gap).alias("late"), flag(F.col("flag_distance") <= radius).alias("near"), flag(F.col("line_distance") <= radius).alias("line"),
+    )
+    spark = events.sparkSession
+    trials = spark.range(permutations).select((F.col("id") + 1).cast("int").alias("trial")).select("trial", F.xxhash64(F.lit(seed), "trial"))
+    begun = np.array(trials.collect(), dtype=np.int64).reshape(-1, 2)  # each shuffle and the hash of seed and shuffle
+
+    def deal(crosses: pa.Table) -> pa.Table:
+        part = crosses.column("part")[0].as_py()
+        ids = crosses.column("event_id").fill_null(np.iinfo(np.int64).min).to_numpy()  # nulls come first
+        late, near, line = (crosses.column(c).to_numpy() for c in ("late", "near", "line"))
+        late = late[np.argsort(ids, kind="stable")]
+        marks = near.astype(np.uint64) | line.astype(np.uint64) << np.uint64(1)
+        own = begun[part::TRIAL_PARTS]
+        counts = [np.empty((0, 2), dtype=np.int64)]
+        step = max(1, MOST_DEALT // len(ids))
+        for at in range(0, len(own), step):
+            # Marks take the place of the hash's last two bits, so that one sort orders and deals.
+            keys = _hash_long(ids, own[at : at + step, 1].view(np.uint64)[:, None]) & ~np.uint64(3) | marks
+            dealt = np.sort(keys.view(np.int64), axis=1)[:, late]
+            counts.append(np.column_stack([(dealt & 1).sum(axis=1), (dealt >> 1 & 1).sum(axis=1)]))
+        counts = np.concatenate(counts)
+        return pa.table({"trial": own[:, 0].astype(np.int32), "n": counts[:, 0], "b": counts[:, 1]})
+
+    n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    parts = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(TRIAL_PARTS - 1))))
+    keys = ["match_id", "half", "part"]
+    # Dealt into tasks by number: by its few bytes Spark would give all of it to one.
+    each = parts.repartition(n_tasks, *keys).groupBy(*keys).applyInArrow(deal, "trial int, n long, b long").groupBy("trial").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+    observed = rows.agg(F.count("*").alias("n_crosses"), _n(F.col("near")).alias("n_within"), _n(F.col("late")).alias("n_after_gap"), _n(F.col("near") & F.col("late")).alias("observed"), _n(F.col("line") & F.col("late")).alias("baseline_observed"))
     both = each.join(F.broadcast(observed))  # one row
     p = lambda c, o: (1 + F.count(F.when(F.col(c) >= F.col(o), 1))) / (1 + permutations)
     names = ["n_crosses", "n_within", "n_after_gap", "observed", "baseline_observed"]
