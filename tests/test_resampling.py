@@ -15,7 +15,7 @@ def test_corner_null_test_deals_two_thousand_times(spark):
 
 def test_corner_null_test_deals_by_spark_s_own_hash_without_a_row_for_each_deal(spark):
     """Halves are dealt in the order of xxhash64(seed, shuffle, event_id), each as a whole."""
-    rows = [event(i, "cross", 0, t=i * i, half=1 + i % 2, match=i % 3, x=10400.0 if i % 4 else 6000.0, y=i * 37.0 % 3400) for i in range(1, 90)]
+    rows = [event(i, "cross", 0, t=i * i, half=1 + i % 2, match=i % 3, x=10400.0 if i % 4 else 6000.0, y=i * 611.0 % 3400) for i in range(1, 90)]
     df = spark.createDataFrame(rows, SCHEMA)
     got = teams.corner_null_test(df, radius=2000.0, min_gap=500.0, permutations=40, seed=3)
     crosses = [r.asDict() for r in teams._crosses(df, teams.G.FIFA).collect()]
