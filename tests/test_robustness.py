@@ -60,3 +60,16 @@ def test_a_scenario_without_events_counts_zero(spark):
 def test_the_registered_sweep_is_whole(spark):
     rows = registry.QUERIES["sensitivity_sweep"](spark, "/root/testdata/sf0.001").collect()
     assert {r.stat for r in rows} == STATS and {r.rate for r in rows} == {0.05, 0.1, 0.2, 0.4} and {r.n_trials for r in rows} == {20} and len(rows) == 96
+
+
+def test_batches_hold_each_scenario_once_and_find_the_same(spark, monkeypatch):
+    df = stream(spark, 40)
+    arguments = {"rates": (0.2, 0.4), "models": ("uniform",), "trials": 3}
+    whole = robustness.sweep(df, robustness.statistics, **arguments).collect()
+    asked = []
+    monkeypatch.setattr(robustness, "scenarios", lambda *a, f=robustness.scenarios, **k: asked.append(k["only"]) or f(*a, **k))
+    monkeypatch.setattr(robustness, "MOST_ROWS", 80)
+    assert sorted(map(str, robustness.sweep(df, robustness.statistics, **arguments).collect())) == sorted(map(str, whole))
+    assert asked == [([("uniform", 0.2)], [1, 2]), ([("uniform", 0.2)], [3]), ([("uniform", 0.4)], [1, 2]), ([("uniform", 0.4)], [3])]
+    for n in (0, 1, 5000, 30_000, 50_000_000):
+        assert sorted((m, r, t) for pairs, trials in robustness.batches(n, robustness.RATES, robustness.MODELS, 20) for m, r in pairs for t in trials) == sorted((m, r, t) for m in robustness.MODELS for r in robustness.RATES for t in range(1, 21))

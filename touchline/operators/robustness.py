@@ -1,7 +1,8 @@
-"""How far statistics move when events go missing: scenarios of model, rate and trial, all in one plan."""
+"""How far statistics move when events go missing: scenarios of model, rate and trial, some in one plan."""
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 import pandas as pd
@@ -13,17 +14,23 @@ from touchline.functions import pitch as G
 from touchline.operators import chains, duels, models, players
 from touchline.sources.matches import MAX_GAP
 
+#: Events of all scenarios that are rebuilt at a time, which is what takes disk; a scenario is never cut.
+MOST_ROWS = 400_000
 RATES, MODELS, TRIALS = (0.05, 0.1, 0.2, 0.4), ("uniform", "crowd-biased"), 20
 
 
+#: Pairs of model and rate, and the trials that each of them has.
+Batch = tuple[list[tuple[str, float]], list[int]]
+
+
 def crowding(events: DataFrame, radius: float = G.CROWD_RADIUS) -> DataFrame:
     """Adds crowd: team-mates and opponents within the radius."""
     x, y = F.col("x"), F.col("y")
     return events.withColumn("crowd", G.within(x, y, F.col("opponents"), radius) + G.within(x, y, F.col("teammates"), radius))
 
 
-def scenarios(events: DataFrame, rates: tuple[float, ...] = RATES, models: tuple[str, ...] = MODELS, trials: int = TRIALS, seed: int = 0, strength: float = 2.0, rounds: int = 20) -> DataFrame:
-    """The events that survive each scenario: columns model, rate, trial beside their own.
+def scenarios(events: DataFrame, rates: tuple[float, ...] = RATES, models: tuple[str, ...] = MODELS, trials: int = TRIALS, seed: int = 0, strength: float = 2.0, rounds: int = 20, only: Batch | None = None) -> DataFrame:
+    """The events that survive each scenario, or only those of a batch: columns model, rate, trial beside their own.
 
     An event goes missing where a hashed number falls below its probability: the rate itself, or the rate weighted by crowding within the match
     and clipped to 1, what is lost by clipping dealt to the others, round by round. Equally crowded events of a match share a probability.
@@ -37,6 +44,8 @@ def scenarios(events: DataFrame, rates: tuple[float, ...] = RATES, models: tuple
         for model in models:
             weight = (1 + strength * (crowd - mean) / (mean + 1)).clip(0.05) if model == "crowd-biased" else crowd * 0 + 1
             for rate in rates:
+                if only and (model, rate) not in only[0]:
+                    continue
                 p = rate * weight / ((n * weight).sum() / n.sum())
                 for _ in range(rounds):
                     p = p.clip(None, 1.0)
@@ -51,7 +60,8 @@ def scenarios(events: DataFrame, rates: tuple[float, ...] = RATES, models: tuple
     dealt = cells.groupBy("match_id").applyInPandas(deal, f"match_id {kind}, crowd int, model string, rate double, _p double")
     dealt = dealt.withColumnsRenamed({"match_id": "_match", "crowd": "_crowd"})
     rows = rows.join(dealt, F.col("match_id").eqNullSafe(F.col("_match")) & (F.col("crowd") == F.col("_crowd")))
-    rows = rows.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
+    numbers = only[1] if only else range(1, trials + 1)
+    rows = rows.withColumn("trial", F.explode(F.array(*map(F.lit, numbers))))
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "model", "rate", "trial", "match_id", "event_id"), 11) * F.lit(2.0**-53)
     return rows.where(u >= F.col("_p")).select(*events.columns, "model", "rate", "trial")
 
@@ -98,18 +108,39 @@ def statistics(events: DataFrame, keys: tuple[str, ...] = (), max_gap: float = M
         chained.unpersist()
 
 
+def batches(n_events: int, rates: tuple[float, ...], models: tuple[str, ...], trials: int) -> list[Batch]:
+    """All scenarios, each once, in batches of at most MOST_ROWS events: whole pairs of model and rate, else some trials of one pair, one at least."""
+    pairs, every = [(m, r) for m in models for r in rates], list(range(1, trials + 1))
+    at_once = max(1, MOST_ROWS // max(1, n_events))
+    step = at_once // trials
+    if step:
+        return [(pairs[i : i + step], every) for i in range(0, len(pairs), step)]
+    return [([pair], every[i : i + at_once]) for pair in pairs for i in range(0, trials, at_once)]
+
+
 def sweep(events: DataFrame, compute: Callable[..., DataFrame], rates: tuple[float, ...] = RATES, models: tuple[str, ...] = MODELS, trials: int = TRIALS, seed: int = 0, signed: tuple[str, ...] = ()) -> DataFrame:
-    """movements() of what compute(events, keys) finds among the events without replays; it is called for all of them and once for all scenarios.
+    """movements() of what compute(events, keys) finds among the events without replays; it is called for all of them and once for each batch of scenarios.
 
-    A scenario without events counts 0 everywhere.
+    What it finds, some rows a scenario, comes to the driver, and a batch's files go before the next. A scenario without events counts 0 everywhere.
     """
-    live = events.where(~F.col("replay"))
+    spark = events.sparkSession
+    live = events.where(~F.col("replay")).persist(StorageLevel.DISK_ONLY)
     keys = ("model", "rate", "trial")
-    baseline = compute(live, ())
+    try:
+        found = compute(live, ())
+        baseline = spark.createDataFrame(found.collect(), found.schema)
+        rows, schema = [], None
+        for batch in batches(live.count(), rates, models, trials):
+            found = compute(scenarios(live, rates, models, trials, seed, only=batch), keys)
+            rows, schema = rows + found.collect(), found.schema
+            del found
+            gc.collect()
+            spark._jvm.System.gc()  # else shuffle files stay until the driver happens to collect its garbage
+    finally:
+        live.unpersist()
     grid = [(m, float(r), t) for m in models for r in rates for t in range(1, trials + 1)]
-    every = events.sparkSession.createDataFrame(grid, "model string, rate double, trial int").crossJoin(F.broadcast(baseline.select("stat")))
-    stats = every.join(compute(scenarios(live, rates, models, trials, seed), keys), [*keys, "stat"], "left")
-    return movements(baseline, stats, signed)
+    every = spark.createDataFrame(grid, "model string, rate double, trial int").crossJoin(F.broadcast(baseline.select("stat")))
+    return movements(baseline, every.join(spark.createDataFrame(rows, schema), [*keys, "stat"], "left"), signed)
 
 
 def movements(baseline: DataFrame, stats: DataFrame, signed: tuple[str, ...] = ()) -> DataFrame:
