@@ -1,5 +1,7 @@
 """The sweep of statistics under event loss, as a whole."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +75,51 @@ def test_batches_hold_each_scenario_once_and_find_the_same(spark, monkeypatch):
     assert asked == [([("uniform", 0.2)], [1, 2]), ([("uniform", 0.2)], [3]), ([("uniform", 0.4)], [1, 2]), ([("uniform", 0.4)], [3])]
     for n in (0, 1, 5000, 30_000, 50_000_000):
         assert sorted((m, r, t) for pairs, trials in robustness.batches(n, robustness.RATES, robustness.MODELS, 20) for m, r in pairs for t in trials) == sorted((m, r, t) for m in robustness.MODELS for r in robustness.RATES for t in range(1, 21))
+
+
+def odd_stream(spark, n=420):
+    """Events with every kind of gap: null clubs, players, halves, times, ends, kinds, outcomes, ids and matches; labels, headers, runs of carries, an empty and a one-event match."""
+    pick = random.Random(5)
+    kinds = ["pass", "carry", "carry", "shot", "cross", "tackle", "header", "throw_in", "take_on", "foul_won", "corner", None]
+    maybe = lambda v, p=0.06: None if pick.random() < p else v
+    rows = []
+    for i in range(n):
+        place, end = (pick.uniform(4000, 10500), pick.uniform(0, 6800)), (pick.uniform(4000, 10500), pick.uniform(0, 6800))
+        source = pick.choice(["none", "none", "none", "labelled", None])
+        row = list(event(i, pick.choice(kinds), pick.choice([0, 0, 0, 1]), t=i * 0.7 + (i // 40) * 12, x=place[0], y=place[1], end=maybe(end, 0.2), half=1 + i // 50 % 2, match=maybe(i // 130, 0.04), source=source or "none", outcome=pick.choice(["complete", "incomplete", "unknown"]), replay=maybe(i % 31 == 0, 0.02), opponents=[(9500, 3000 + 100 * j) for j in range(i % 4)]))
+        row[0] = -7 if i == n - 1 else row[0]
+        row[6] = maybe(pick.choice([1, 1, 2, 3]), 0.15)
+        for c, p in ((1, 0.04), (2, 0.02), (3, 0.0), (4, 0.05), (7, 0.08), (9, 0.02), (13, 0.05), (16, 0.01)):
+            row[c] = maybe(row[c], p)
+        row[14] = source
+        rows.append((*row, pick.choice([True, False, None])))
+    return spark.createDataFrame(rows, SCHEMA + ", is_header boolean")
+
+
+def tuples(moves):
+    return sorted((r.stat, r.model, r.rate, r.n_trials, *(None if v is None else round(v, 6) for v in (r.base, r.mean_value, r.mean_relative_movement, r.std_relative_movement, r.mean_absolute_movement))) for r in moves.collect())
+
+
+@pytest.mark.parametrize("make", [stream, odd_stream])
+def test_the_sheets_sweep_finds_what_the_sweep_of_statistics_does(spark, make):
+    df, arguments = make(spark).cache(), {"rates": (0.1, 0.4), "trials": 6, "seed": 3}
+    want = tuples(robustness.sweep(df, robustness.statistics, **arguments))
+    assert tuples(robustness.sheet_sweep(df, **arguments)) == want and sum(row[4] > 0 for row in want) == len(want)
+
+
+def test_the_sheets_sweep_of_nothing_and_of_other_ids(spark):
+    df = stream(spark, 60).cache()
+    arguments = {"rates": (0.4,), "models": ("uniform",), "trials": 2}
+    empty = robustness.sheet_sweep(df.where("false"), **arguments).collect()
+    assert {r.stat for r in empty} == STATS and all((r.base, r.n_trials, r.mean_value, r.mean_absolute_movement) == (0, 2, 0, 0) for r in empty)
+    named = df.withColumn("match_id", F.concat(F.lit("m"), "match_id"))
+    assert tuples(robustness.sheet_sweep(named, **arguments)) == tuples(robustness.sweep(named, robustness.statistics, **arguments))
+
+
+@pytest.mark.parametrize("name", ["sensitivity_sweep"])
+def test_the_registered_sweeps_make_no_row_for_an_event_and_a_scenario(spark, monkeypatch, name):
+    def refuse(*_, **__):
+        raise AssertionError("scenarios as rows")
+
+    monkeypatch.setattr(robustness, "scenarios", refuse)
+    assert {r.stat for r in registry.QUERIES[name](spark, "/root/testdata/sf0.001").collect()} == STATS

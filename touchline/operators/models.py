@@ -47,6 +47,26 @@ def logit(x_m: Column, c_m: Column, header: Column, set_piece: Column, lane: Col
     )
 
 
+def _is_header(events: DataFrame) -> Column:
+    return F.col("is_header") if "is_header" in events.columns else F.lit(None).cast("boolean")
+
+
+def _seen(header: Column, pitch: G.Pitch) -> dict[str, Column]:
+    """What logit() reads of a shot alone, whatever came before it."""
+    return {
+        "x_m": F.greatest(F.lit(NEAREST_X_M), (pitch.length - F.col("x")) / 100),
+        "c_m": F.abs(F.col("y") - pitch.width / 2) / 100,
+        "header": F.coalesce(header, F.lit(False)),
+        "lane": G.in_lane(F.col("x"), F.col("y"), F.col("opponents"), pitch),
+    }
+
+
+def shot_xg(events: DataFrame, set_piece: bool, pitch: G.Pitch = G.FIFA, b: Coefficients = PUBLISHED) -> Column:
+    """The xg of shots() for a known origin: of the event alone, so that it can stand before chains are built."""
+    seen = _seen(_is_header(events), pitch)
+    return G.logistic(logit(seen["x_m"], seen["c_m"], seen["header"], F.lit(set_piece), seen["lane"], b))
+
+
 def shots(chained: DataFrame, pitch: G.Pitch = G.FIFA, source_labels_set_pieces: bool = False, b: Coefficients = PUBLISHED) -> DataFrame:
     """Shots with features, xg and `defaulted`: the features that had to be assumed.
 
@@ -55,20 +75,21 @@ def shots(chained: DataFrame, pitch: G.Pitch = G.FIFA, source_labels_set_pieces:
     """
     order = Window.partitionBy("match_id").orderBy(*ORDER)
     rows = chained.withColumn("_before", F.lag(F.struct("type", "chain_id")).over(order)).where("type = 'shot'")
-    header = F.col("is_header") if "is_header" in chained.columns else F.lit(None).cast("boolean")
+    header = _is_header(chained)
     raw = (pitch.length - F.col("x")) / 100
+    seen = _seen(header, pitch)
     same = F.col("_before.chain_id") == F.col("chain_id")
     restart = (F.col("_before.type") == "throw_in") | (F.coalesce(header, F.lit(False)) & (F.col("_before.type") == "cross"))
     otherwise = F.lit(False) if source_labels_set_pieces else F.lit(None).cast("boolean")
     origin = F.when(F.col("_before").isNull(), F.lit(None).cast("boolean")).when(~same, otherwise).when(restart, True).otherwise(otherwise)
     rows = rows.withColumns(
         {
-            "x_m": F.greatest(F.lit(NEAREST_X_M), raw),
-            "c_m": F.abs(F.col("y") - pitch.width / 2) / 100,
-            "header": F.coalesce(header, F.lit(False)),
+            "x_m": seen["x_m"],
+            "c_m": seen["c_m"],
+            "header": seen["header"],
             "set_piece": F.coalesce(origin, F.lit(False)),
             "origin": origin,
-            "lane": G.in_lane(F.col("x"), F.col("y"), F.col("opponents"), pitch),
+            "lane": seen["lane"],
         }
     )
     missing = [F.when(header.isNull(), "header"), F.when(origin.isNull(), "set_piece"), F.when(F.col("lane").isNull(), "lane"), F.when(raw < NEAREST_X_M, "x_m")]

@@ -4,19 +4,28 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import pitch as G
 from touchline.operators import chains, duels, models, players
-from touchline.sources.matches import MAX_GAP
+from touchline.operators.teams import _hash_long
+from touchline.sources.matches import CREATING_TYPES, MAX_GAP
 
 #: Events of all scenarios that are rebuilt at a time, which is what takes disk; a scenario is never cut.
 MOST_ROWS = 400_000
 RATES, MODELS, TRIALS = (0.05, 0.1, 0.2, 0.4), ("uniform", "crowd-biased"), 20
+#: Groups that a match's scenarios are dealt in by sheet_sweep().
+SCENARIO_PARTS = 4
+#: What sheet_sweep() reads of an event beside its place, club and player, one bit each.
+_MARKS = ("has_half", "has_t", "has_event", "has_player", "has_club", "open", "held", "shot", "carry", "a_pass", "cross", "throw_in", "header", "creating", "ends", "inferred", "complete", "unknown", "attempt", "progressive", "enters", "touch")
+_COUNTED = ("n_events", "count_passes_attempted", "completed", "count_progressive_actions", "count_touches_in_opp_box", "count_final_third_entries", "count_key_passes", "count_sca", "count_recoveries", "count_shots", "total_xg")
 
 
 #: Pairs of model and rate, and the trials that each of them has.
@@ -29,6 +38,24 @@ def crowding(events: DataFrame, radius: float = G.CROWD_RADIUS) -> DataFrame:
     return events.withColumn("crowd", G.within(x, y, F.col("opponents"), radius) + G.within(x, y, F.col("teammates"), radius))
 
 
+def _chances(n: np.ndarray, crowd: np.ndarray, rates: tuple[float, ...], models: tuple[str, ...], strength: float = 2.0, rounds: int = 20) -> dict[tuple[str, float], np.ndarray]:
+    """For each model and rate, the probability that an event goes missing, for each crowding of a match that n events have."""
+    n, crowd, out = n.astype(float), crowd.astype(float), {}
+    mean = (n * crowd).sum() / n.sum()
+    for model in models:
+        weight = (1 + strength * (crowd - mean) / (mean + 1)).clip(0.05) if model == "crowd-biased" else crowd * 0 + 1
+        for rate in rates:
+            p = rate * weight / ((n * weight).sum() / n.sum())
+            for _ in range(rounds):
+                p = p.clip(None, 1.0)
+                lost, left = rate * n.sum() - (n * p).sum(), (n * p)[p < 1].sum()
+                if lost <= 1e-9 or left <= 0:
+                    break
+                p[p < 1] *= 1 + lost / left
+            out[model, rate] = p.clip(None, 1.0)
+    return out
+
+
 def scenarios(events: DataFrame, rates: tuple[float, ...] = RATES, models: tuple[str, ...] = MODELS, trials: int = TRIALS, seed: int = 0, strength: float = 2.0, rounds: int = 20, only: Batch | None = None) -> DataFrame:
     """The events that survive each scenario, or only those of a batch: columns model, rate, trial beside their own.
 
@@ -39,21 +66,9 @@ def scenarios(events: DataFrame, rates: tuple[float, ...] = RATES, models: tuple
     cells = rows.groupBy("match_id", "crowd").agg(F.count("*").alias("n"))
 
     def deal(cells: pd.DataFrame) -> pd.DataFrame:
-        n, crowd, out = cells["n"].to_numpy(dtype=float), cells["crowd"].to_numpy(dtype=float), []
-        mean = (n * crowd).sum() / n.sum()
-        for model in models:
-            weight = (1 + strength * (crowd - mean) / (mean + 1)).clip(0.05) if model == "crowd-biased" else crowd * 0 + 1
-            for rate in rates:
-                if only and (model, rate) not in only[0]:
-                    continue
-                p = rate * weight / ((n * weight).sum() / n.sum())
-                for _ in range(rounds):
-                    p = p.clip(None, 1.0)
-                    lost, left = rate * n.sum() - (n * p).sum(), (n * p)[p < 1].sum()
-                    if lost <= 1e-9 or left <= 0:
-                        break
-                    p[p < 1] *= 1 + lost / left
-                out.append(cells[["match_id", "crowd"]].assign(model=model, rate=rate, _p=p.clip(None, 1.0)))
+        cells = cells.sort_values("crowd")
+        chances = _chances(cells["n"].to_numpy(), cells["crowd"].to_numpy(), rates, models, strength, rounds)
+        out = [cells[["match_id", "crowd"]].assign(model=model, rate=rate, _p=p) for (model, rate), p in chances.items() if not only or (model, rate) in only[0]]
         return pd.concat(out)
 
     kind = events.schema["match_id"].dataType.simpleString()
@@ -66,6 +81,18 @@ def scenarios(events: DataFrame, rates: tuple[float, ...] = RATES, models: tuple
     return rows.where(u >= F.col("_p")).select(*events.columns, "model", "rate", "trial")
 
 
+def _long(wide: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Counts and totals of each value of the keys with their ratios, a row each."""
+    share = lambda x, y: F.when(F.col(y) > 0, F.col(x) / F.col(y)).otherwise(0.0)
+    ratios = {
+        "ratio_pass_completion": share("completed", "count_passes_attempted"),
+        "ratio_progressive_share": share("count_progressive_actions", "count_passes_attempted"),
+        "ratio_field_tilt_box_share": share("count_touches_in_opp_box", "n_events"),
+    }
+    found = {c: F.col(c) for c in wide.columns if c not in (*keys, "n_events", "completed")} | ratios
+    return wide.select(*keys, F.inline(F.array(*(F.struct(F.lit(k).alias("stat"), v.alias("value")) for k, v in found.items()))))
+
+
 def statistics(events: DataFrame, keys: tuple[str, ...] = (), max_gap: float = MAX_GAP, pitch: G.Pitch = G.FIFA) -> DataFrame:
     """Counts, totals and ratios of the tier-one sheet over all matches, for each value of the keys: columns stat and value beside the keys.
 
@@ -94,14 +121,7 @@ def statistics(events: DataFrame, keys: tuple[str, ...] = (), max_gap: float = M
         wide = wide.unionByName(part, allowMissingColumns=True)
     names = [c for c in wide.columns if c not in keys]
     wide = wide.groupBy(*keys).agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in names))
-    share = lambda x, y: F.when(F.col(y) > 0, F.col(x) / F.col(y)).otherwise(0.0)
-    ratios = {
-        "ratio_pass_completion": share("completed", "count_passes_attempted"),
-        "ratio_progressive_share": share("count_progressive_actions", "count_passes_attempted"),
-        "ratio_field_tilt_box_share": share("count_touches_in_opp_box", "n_events"),
-    }
-    found = {c: F.col(c) for c in names if c not in ("n_events", "completed")} | ratios
-    long = wide.select(*keys, F.inline(F.array(*(F.struct(F.lit(k).alias("stat"), v.alias("value")) for k, v in found.items()))))
+    long = _long(wide, keys)
     try:
         return events.sparkSession.createDataFrame(long.collect(), long.schema)  # a dozen rows a scenario
     finally:
@@ -143,6 +163,145 @@ def sweep(events: DataFrame, compute: Callable[..., DataFrame], rates: tuple[flo
     return movements(baseline, every.join(spark.createDataFrame(rows, schema), [*keys, "stat"], "left"), signed)
 
 
+def _marked(live: DataFrame, pitch: G.Pitch) -> DataFrame:
+    """Events as sheet_sweep() deals them: all that depends on an event alone is found here, as marks and two values of a shot."""
+    kind = lambda *names: F.col("type").isin(*names)
+    actor, ended, a_pass = F.col("player_id").isNotNull(), F.col("end_x").isNotNull(), kind("pass", "cross")
+    moves = (a_pass | kind("carry")) & actor & ended
+    conditions = {
+        "has_half": F.col("half").isNotNull(), "has_t": F.col("t").isNotNull(), "has_event": F.col("event_id").isNotNull(), "has_player": actor, "has_club": F.col("club_id").isNotNull(),
+        "open": ~chains.is_contest(), "held": chains.is_possession(), "a_pass": a_pass, "creating": kind(*CREATING_TYPES), "ends": kind("shot", "throw_in"),
+        **{k: kind(k) for k in ("shot", "carry", "cross", "throw_in")}, "header": models._is_header(live),
+        "inferred": (F.col("outcome_source") != "labelled") & kind(*chains._INFERRED), "complete": F.col("outcome") == "complete", "unknown": F.col("outcome") == "unknown",
+        "attempt": a_pass & actor & ended, "progressive": moves & players.is_progressive(pitch), "enters": moves & ~G.in_final_third(F.col("x"), pitch) & G.in_final_third(F.col("end_x"), pitch),
+        "touch": actor & G.in_box(F.col("x"), F.col("y"), pitch),
+    }
+    marks = reduce(lambda a, b: a.bitwiseOR(b), (F.when(conditions[k], 1 << i).otherwise(0) for i, k in enumerate(_MARKS)))
+    least = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(2**63))).alias(c)  # noqa: E731  # nulls come first
+    value = lambda s: F.when(kind("shot") & actor, F.coalesce(models.shot_xg(live, s, pitch), F.lit(0.0))).otherwise(0.0)
+    rows = crowding(live)
+    return rows.select(
+        "match_id", least("half"), least("frame_idx"), least("event_id"), F.col("t").cast("double").alias("t"), F.coalesce(F.col("club_id").cast("long"), F.lit(0)).alias("club"), F.coalesce(F.col("player_id").cast("long"), F.lit(0)).alias("player"), "crowd",
+        marks.alias("marks"), value(False).alias("xg"), value(True).alias("xg_set"),
+    )
+
+
+def _before(flags: np.ndarray) -> np.ndarray:
+    """For each place the last flagged one before it, -1 if there is none."""
+    out = np.full(len(flags), -1)
+    np.maximum.accumulate(np.where(flags, np.arange(len(flags)), -1)[:-1], out=out[1:])
+    return out
+
+
+def _counts(e: dict[str, np.ndarray], max_gap: float) -> tuple:
+    """_COUNTED of one match's events in their order: chains.with_chains() and the sheets of statistics(), without rows for what they join."""
+    half, t, club, player, n = e["half"], e["t"], e["club"], e["player"], len(e["t"])
+    if not n:
+        return (0,) * len(_COUNTED)
+    is_ = {k: e["marks"] & (1 << i) != 0 for i, k in enumerate(_MARKS)}
+    has_half, has_club, actor, free, at = is_["has_half"], is_["has_club"], is_["has_player"], is_["open"], np.arange(n)
+
+    # A match, a half or a pause cuts; another club's event that is no contest begins a chain too.
+    cut = np.ones(n, dtype=bool)
+    cut[1:] = (half[1:] != half[:-1]) | ~has_half[:-1] | (is_["has_t"][1:] & is_["has_t"][:-1] & ~(t[1:] - t[:-1] <= max_gap))
+    holder = _before((cut | free) & has_club)
+    starts = cut | (free & has_club & (holder >= np.maximum.accumulate(np.where(cut, at, 0))) & (club[holder] != club))
+    begin, first = np.maximum.accumulate(np.where(starts, at, 0)), np.flatnonzero(starts)
+
+    later = np.full(n, n)
+    later[:-1] = np.minimum.accumulate(np.where(is_["held"], at, n)[:0:-1])[::-1]
+    i = np.flatnonzero(is_["inferred"])
+    j = np.minimum(later[i], n - 1)
+    live = (later[i] < n) & has_half[i] & (half[i] == half[j]) & (t[j] - t[i] <= max_gap)
+    complete, unknown = is_["complete"], is_["unknown"]
+    complete[i], unknown[i] = live & has_club[i] & has_club[j] & (club[i] == club[j]), ~live
+    attempted = is_["attempt"] & ~unknown
+
+    shot = np.flatnonzero(is_["shot"])
+    key_passes, earlier, k = 0, _before(free), shot[actor[shot]]
+    j = earlier[k]
+    while len(k):  # back over the shooter's own carries
+        within = j >= begin[k]
+        k, j = k[within], j[within]
+        same = has_club[j] & has_club[k] & (club[j] == club[k])
+        own = is_["carry"][j] & actor[j] & (player[j] == player[k]) & (same | ~has_club[j] | ~has_club[k])
+        key_passes += np.count_nonzero(~own & same & is_["a_pass"][j] & actor[j] & (player[j] != player[k]))
+        k, j = k[own], earlier[j[own]]
+
+    # Within a chain, all clubs of events that are no contest are one.
+    action, k, sca = _before(is_["creating"] & has_club), shot[has_club[shot]], 0
+    j = action[k]
+    for _ in range(2):
+        within = j >= begin[k]
+        k, j = k[within], j[within]
+        sca += np.count_nonzero(actor[j])
+        on = ~is_["ends"][j]
+        k, j = k[on], action[j[on]]
+
+    # Its first event is a chain's first own one, and whoever of its club acts in the open holds the ball there.
+    last, holds = np.append(first[1:] - 1, n - 1), np.append(0, np.cumsum(is_["held"] & has_club))
+    held = has_club[first] & (holds[last + 1] > holds[first])
+    gain, lost = first[1:], last[:-1]
+    change = held[1:] & held[:-1] & (club[gain] != club[first[:-1]]) & has_half[gain] & (half[gain] == half[lost]) & (t[gain] - t[lost] <= max_gap)
+
+    k = shot[actor[shot]]
+    restart = ~starts[k] & (is_["throw_in"][k - 1] | (is_["header"][k] & is_["cross"][k - 1]))
+    count = np.count_nonzero
+    return (
+        n, count(attempted), count(attempted & complete), count(complete & is_["progressive"]), count(is_["touch"]), count(complete & is_["enters"]), key_passes, sca,
+        count(change & actor[gain]), len(k), float(np.where(restart, e["xg_set"][k], e["xg"][k]).sum()),
+    )
+
+
+def sheet_sweep(events: DataFrame, rates: tuple[float, ...] = RATES, models: tuple[str, ...] = MODELS, trials: int = TRIALS, seed: int = 0, max_gap: float = MAX_GAP, pitch: G.Pitch = G.FIFA, signed: tuple[str, ...] = ()) -> DataFrame:
+    """sweep() of statistics(), the same scenarios and figures, but no row is made for an event and a scenario.
+
+    A match's events go to SCENARIO_PARTS groups, each of which rebuilds its share of the scenarios one by one and returns their counts; a match must fit a
+    worker. event_id is a key within a match. Ids that are no numbers (or no longs, where they are hashed) go the way of sweep().
+    """
+    kinds, whole = dict(events.dtypes), ("tinyint", "smallint", "int", "bigint")
+    if any(kinds[c] != "bigint" for c in ("match_id", "event_id")) or any(kinds[c] not in whole for c in ("half", "frame_idx", "club_id", "player_id")):
+        return sweep(events, lambda rows, keys: statistics(rows, keys, max_gap, pitch), rates, models, trials, seed, signed)
+    spark, keys = events.sparkSession, ("model", "rate", "trial")
+    grid = [(m, float(r), t) for m in models for r in rates for t in range(1, trials + 1)]
+    every = spark.createDataFrame(grid, "model string, rate double, trial int")
+    begun = {(r.model, r.rate, r.trial): r.h for r in every.select(*keys, F.xxhash64(F.lit(seed), *keys).alias("h")).collect()}
+    hashes = np.array([begun[k] for k in grid], dtype=np.int64).view(np.uint64)
+
+    def deal(rows: pa.Table) -> pa.Table:
+        part, match = rows.column("part")[0].as_py(), rows.column("match_id")[0].as_py()
+        e = {c: rows.column(c).to_numpy() for c in ("half", "frame_idx", "event_id", "t", "club", "player", "crowd", "marks", "xg", "xg_set")}
+        order = np.lexsort((e["event_id"], e["frame_idx"], e["half"]))
+        e = {c: v[order] for c, v in e.items()}
+        ids, named, crowd = e.pop("event_id"), e["marks"] & (1 << _MARKS.index("has_event")) != 0, e.pop("crowd")
+        del e["frame_idx"]
+        cells, cell, n = np.unique(crowd, return_inverse=True, return_counts=True)
+        # A number in [0, 1) of 53 bits is at least p where its bits are at least so many.
+        bars = {k: np.ceil(p * 2.0**53).astype(np.uint64) for k, p in _chances(n, cells, rates, models).items()}
+        own = range(part, len(grid), SCENARIO_PARTS)
+        of_match = hashes if match is None else _hash_long(np.full(len(grid), match), hashes)
+        found = [(-1, *_counts(e, max_gap))] if part == 0 else []
+        for i in own:
+            drawn = _hash_long(ids, of_match[i : i + 1])
+            if not named.all():
+                drawn[~named] = of_match[i]
+            kept = np.flatnonzero(drawn >> np.uint64(11) >= bars[grid[i][0], grid[i][1]][cell])
+            found.append((i, *_counts({c: v[kept] for c, v in e.items()}, max_gap)))
+        return pa.table({c: pa.array(v, kind) for (c, kind), v in zip(schema.items(), zip(*found, strict=True) if found else [[]] * len(schema), strict=True)})
+
+    schema = {"scenario": pa.int32()} | dict.fromkeys(_COUNTED, pa.int64()) | {"total_xg": pa.float64()}
+    names = {pa.int32(): "int", pa.int64(): "long", pa.float64(): "double"}
+    n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows = _marked(events.where(~F.col("replay")), pitch).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SCENARIO_PARTS - 1))))
+    # Dealt into tasks by number: by its few bytes Spark would give all of it to one.
+    each = rows.repartition(n_tasks, "match_id", "part").groupBy("match_id", "part").applyInArrow(deal, ", ".join(f"{c} {names[k]}" for c, k in schema.items()))
+    sums = {r.scenario: tuple(map(float, r[1:])) for r in each.groupBy("scenario").agg(*(F.sum(c).alias(c) for c in _COUNTED)).collect()}  # a row a scenario
+    none, columns = (0.0,) * len(_COUNTED), ", ".join(f"{c} double" for c in _COUNTED)
+    baseline = _long(spark.createDataFrame([sums.get(-1, none)], columns), ())
+    stats = _long(spark.createDataFrame([(*k, *sums.get(i, none)) for i, k in enumerate(grid)], f"model string, rate double, trial int, {columns}"), keys)
+    return movements(baseline, stats, signed)
+
+
 def movements(baseline: DataFrame, stats: DataFrame, signed: tuple[str, ...] = ()) -> DataFrame:
     """Mean movement of each statistic per model and rate: relative, or absolute where the baseline is 0 or the statistic signed.
 

@@ -296,7 +296,7 @@ def _movements(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("sensitivity_sweep")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return _movements(spark, sf)
+    return X.sheet_sweep(match_events(spark, sf), max_gap=GAP)
 
 
 @query("sensitivity_gating")
