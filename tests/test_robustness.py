@@ -116,7 +116,7 @@ def test_the_sheets_sweep_of_nothing_and_of_other_ids(spark):
     assert tuples(robustness.sheet_sweep(named, **arguments)) == tuples(robustness.sweep(named, robustness.statistics, **arguments))
 
 
-@pytest.mark.parametrize("name", ["sensitivity_sweep"])
+@pytest.mark.parametrize("name", ["sensitivity_sweep", "sensitivity_gating"])
 def test_the_registered_sweeps_make_no_row_for_an_event_and_a_scenario(spark, monkeypatch, name):
     def refuse(*_, **__):
         raise AssertionError("scenarios as rows")
